@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import overlaps
+from .frames import read_frames, write_frames
 from .packing import pack_powers_of_two
+from .telephony import decode_media, media_table
 from .token_counts import token_counts
 
 
@@ -17,14 +20,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_frames(write_frames(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_media(media_table(_table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_powers_of_two(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, longest=2048)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op9_packing)}
 
 ORACLES: dict[str, str] = {}
