@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import overlaps
 from .frames import read_frames, write_frames
 from .packing import pack_powers_of_two
+from .substrings import drop_repeats
 from .telephony import decode_media, media_table
 from .token_counts import token_counts
 
@@ -36,10 +38,15 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(media_table(_table(spark, sf_dir, "documents")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", (F.col("n_removed") > 0).alias("has_repeat"), "removed", "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_powers_of_two(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, longest=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing)}
 
 ORACLES: dict[str, str] = {}

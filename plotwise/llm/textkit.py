@@ -137,10 +137,15 @@ def words(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     before = cuts[cuts > 0] - 1
     last[before] |= inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets, side="left")
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans that follow one another without overlap."""
     hashes = np.empty(len(starts), U64)
     step = 1 << 20
     lo = 0
-    while lo < len(starts):  # prefix sums over a stretch of whole words, so that memory stays bounded
+    while lo < len(starts):  # prefix sums over a stretch of whole spans, so that memory stays bounded
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + step, side="right")))
         a, b = int(starts[lo]), int(ends[hi - 1])
         up, down = _POWERS.get(b - a + 1)
@@ -150,7 +155,14 @@ def words(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         s, e = starts[lo:hi] - a, ends[lo:hi] - a
         hashes[lo:hi] = mix((sums[e] - sums[s]) * down[s])
         lo = hi
-    return starts, ends, hashes, np.searchsorted(starts, offsets, side="left")
+    return hashes
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of consecutive entries, hashes[starts[i] : ends[i]], order kept."""
+    up, down = _POWERS.get(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * up[: len(hashes)], dtype=U64)])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
