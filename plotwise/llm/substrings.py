@@ -19,7 +19,7 @@ from .cluster import key_filter, partitions, passes, place, written
 from .textkit import RAW_TABLE, U64, Block, batches, blocks, mix, run_hashes, span_hashes, words
 
 #: Text whose chunks share one message a bucket.
-_BLOCK = 16 << 20
+_BLOCK = 4 << 20
 #: The gear table: 16 random bits a byte value. A 16-bit gear hash forgets all but the last 16 bytes.
 _GEAR = (mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F)) >> U64(48)).astype(np.uint16)
 #: A chunk ends after a word whose last 16 bytes have a gear hash below this: one word in four.
@@ -236,25 +236,23 @@ def drop_repeats(documents: DataFrame, least_words: int = 20, id_col: str = "doc
             if not b.num_rows:
                 continue
             k = b.schema.get_field_index(at)
-            ranges = b.column(b.schema.get_field_index("removed"))
-            texts = b.column(k).to_pylist() if ranges.null_count < len(ranges) else None
-            n_words, n_removed = [], []
-            listed = ranges.to_pylist()
             for block in blocks(b.column(k)):
+                part = b.slice(int(block.rows[0]), len(block.rows))
+                ranges = part.column(part.schema.get_field_index("removed"))
+                listed = ranges.to_pylist() if ranges.null_count < len(ranges) else [None] * len(ranges)
                 starts, ends, _, _, _ = chunks(block)
                 first = np.searchsorted(starts, block.offsets, side="left")
-                n_words += np.diff(first).tolist()
-                for d, row in enumerate(block.rows.tolist()):
-                    own = listed[row] or []
-                    n_removed.append(sum(own[1::2]) - sum(own[::2]))
-                    if own:
-                        raw, lo, kept, upto = block.text(d), block.offsets[d], [], 0
-                        for x, y in zip(own[::2], own[1::2]):
-                            kept.append(raw[upto : starts[first[d] + x] - lo])
-                            upto = int(ends[first[d] + y - 1] - lo)
-                        texts[row] = b"".join([*kept, raw[upto:]]).decode("utf-8", "replace").strip() if n_removed[-1] < n_words[row] else ""
-            columns = [pa.array(texts, b.schema.field(k).type) if i == k and texts is not None else b.column(i) for i in range(len(inner))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), ranges], names=[*inner, "n_words", "n_removed", "removed"])
+                n_words, texts = np.diff(first), {}
+                n_removed = np.array([sum(r[1::2]) - sum(r[::2]) if r else 0 for r in listed], np.int64)
+                for d in np.flatnonzero(n_removed).tolist():
+                    raw, lo, kept, upto, own = block.text(d), block.offsets[d], [], 0, listed[d]
+                    for x, y in zip(own[::2], own[1::2]):
+                        kept.append(raw[upto : starts[first[d] + x] - lo])
+                        upto = int(ends[first[d] + y - 1] - lo)
+                    texts[d] = b"".join([*kept, raw[upto:]]).decode("utf-8", "replace").strip() if n_removed[d] < n_words[d] else ""
+                old = part.column(k)
+                new = pa.array([texts[d] if d in texts else old[d].as_py() for d in range(len(old))], old.type) if texts else old
+                yield pa.RecordBatch.from_arrays([*[new if i == k else part.column(i) for i in range(len(inner))], pa.array(n_words), pa.array(n_removed), ranges], names=[*inner, "n_words", "n_removed", "removed"])
 
     done = joined.unionByName(whole).mapInArrow(cut, schema)
     return done.toDF(*names, "n_words", "n_removed", "removed")
