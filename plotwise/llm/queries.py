@@ -12,6 +12,7 @@ from .packing import pack_powers_of_two
 from .substrings import drop_repeats
 from .telephony import decode_media, media_table
 from .token_counts import token_counts
+from .toxicity import score_toxicity, train
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_toxicity(documents, train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_frames(write_frames(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1))
 
@@ -47,6 +53,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_powers_of_two(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, longest=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing)}
 
 ORACLES: dict[str, str] = {}
