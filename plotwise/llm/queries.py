@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .decontamination import overlaps
 from .frames import read_frames, write_frames
 from .packing import pack_powers_of_two
@@ -53,6 +54,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_powers_of_two(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, longest=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.score_quality(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing, op10_quality)}
 
 ORACLES: dict[str, str] = {}
