@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .decontamination import overlaps
 from .frames import read_frames, write_frames
+from .html_text import extract_main_text
 from .packing import pack_powers_of_two
 from .substrings import drop_repeats
 from .telephony import decode_media, media_table
@@ -37,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
@@ -59,6 +64,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_frames, op4_token_counts, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_frames, op4_token_counts, op5_main_text, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing, op10_quality)}
 
 ORACLES: dict[str, str] = {}
