@@ -10,6 +10,7 @@ from . import quality
 from .decontamination import overlaps
 from .frames import read_frames, write_frames
 from .html_text import extract_main_text
+from .near_copies import near_copies
 from .packing import pack_powers_of_two
 from .substrings import drop_repeats
 from .telephony import decode_media, media_table
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return score_toxicity(documents, train(documents, _table(spark, sf_dir, "labels")))
@@ -64,6 +69,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_frames, op4_token_counts, op5_main_text, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_token_frames, op4_token_counts, op5_main_text, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing, op10_quality)}
 
 ORACLES: dict[str, str] = {}
