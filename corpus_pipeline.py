@@ -1,13 +1,66 @@
-"""A training corpus from raw documents in five stages."""
+"""A training corpus from raw documents: five stages, each on all that the one before has kept.
+
+    toxicity                 documents whose score is 0.5 or more go
+    n-gram Jaccard join      of each group of near copies (five words, 0.8) the smallest id stays
+    substring dedup          later copies of passages are cut; documents that only repeat go
+    benchmark decontamination  documents that hold a benchmark window go
+    packing                  what is left becomes sequences of power-of-two length
+
+``run`` writes every stage's result to the shared folder and reads it again, so that a lost executor costs
+one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotwise.llm.cluster import written
+from plotwise.llm.decontamination import decontaminate
+from plotwise.llm.near_copies import near_copies
+from plotwise.llm.packing import pack_powers_of_two
+from plotwise.llm.queries import vocabulary
+from plotwise.llm.substrings import drop_repeats
+from plotwise.llm.toxicity import drop_toxic, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents scored toxic; the machine learns from the labelled documents among those given."""
+    return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each class of near copies; rows without an id stay."""
+    dropped = written(near_copies(docs, n=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of passages; a document of which nothing is left goes. n_chars follows the text."""
+    cut = drop_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which ten consecutive words of a benchmark item occur."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, remove="documents")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of binary length, at most 2048 tokens."""
+    return pack_powers_of_two(docs, vocabulary(), end_id=1, longest=2048)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
 
+#: SQL has no string-kernel machine, so no statement gives run()'s rows; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
