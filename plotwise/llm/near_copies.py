@@ -5,7 +5,7 @@ A set is the distinct word n-grams of a text, as 64-bit hashes. Two relations be
 Among index lists. Sets are ordered by hash, with n-grams that are known to be common put last, and only a
 prefix is indexed: sets alike enough share an n-gram there. A list skips blocks by set size and by the place
 of the n-gram in either set, which bound the overlap from above; what stands in a bound's way is never
-emitted. A histogram of each set (64 counts) then bounds the difference from below.
+emitted. A histogram of each set (512 counts) then bounds the difference from below.
 
 Among answers. Sets that are equal share one answer: only the smallest document of a class is indexed. In
 long lists, which near copies make, sets are first compared with one leader for each band of sizes; those
@@ -36,7 +36,8 @@ LIGHT = 64
 COMMON, COMMON_MOST = 32, 1 << 19
 #: Rows of a list compared with one another in one task.
 TILE = 2048
-_BINS = 64
+#: Counts in a set's histogram: sets of some hundred n-grams that are not alike then seldom pass its bound.
+_BINS = 512
 
 
 class Rule:
