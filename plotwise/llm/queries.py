@@ -71,4 +71,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_token_frames, op4_token_counts, op5_main_text, op6_decontamination, op7_telephony, op8_substring_dedup, op9_packing, op10_quality)}
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL for the operators whose results it can state; the others are tested against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS grams FROM d),
+n AS (SELECT doc_id, len(grams) AS n, md5(array_to_string(list_sort(grams), '|')) AS h FROM s),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 85 * (p.n + q.n - both_)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id,
+  CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY n, h) END AS class_id FROM n""",
+    "op6_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, j, j + k - 1), ' ') AS g FROM k, unnest(range(1, len(w) - k + 2)) AS t(j)),
+dw AS (SELECT doc_id, ks.k AS k, j, array_to_string(list_slice(w, j, j + ks.k - 1), ' ') AS g FROM d, (SELECT DISTINCT k FROM iw) ks, unnest(range(1, len(w) - ks.k + 2)) AS t(j)),
+hit AS (SELECT doc_id, j, dw.k AS k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hit) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
