@@ -41,10 +41,10 @@ _BINS = 512
 
 
 class Rule:
-    """Word n-grams and the threshold, as a whole percentage."""
+    """Word n-grams, the threshold as a whole percentage, and how long a list is paired at once."""
 
-    def __init__(self, n: int, percent: int) -> None:
-        self.n, self.percent = n, percent
+    def __init__(self, n: int, percent: int, light: int = LIGHT) -> None:
+        self.n, self.percent, self.light = n, percent, light
 
     def sets(self, block: Block) -> list[np.ndarray]:
         """Sorted distinct n-gram hashes of each document; with fewer words the whole sequence is one, without words none is."""
@@ -208,11 +208,11 @@ def candidates(entries: DataFrame, rule: Rule) -> DataFrame:
             gram, doc, d1, size, at = (x[new] for x in (gram, doc, d1, size, at))
             begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             length = np.diff(np.concatenate([begin, [len(gram)]]))
-            long = np.repeat(length > LIGHT, length)
+            long = np.repeat(length > rule.light, length)
             if long.any():
                 yield out(doc[long], None, gram[long], at[long], size[long], d1[long])
             found = []
-            for n in np.unique(length[(length > 1) & (length <= LIGHT)]).tolist():
+            for n in np.unique(length[(length > 1) & (length <= rule.light)]).tolist():
                 i, j = np.triu_indices(n, 1)
                 for lo in range(0, (length == n).sum(), max(1, 200_000 // len(i))):
                     rows_ = begin[length == n][lo : lo + max(1, 200_000 // len(i))]
