@@ -59,6 +59,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+#: Rows of one Arrow batch where the session names no number of its own: long texts make large batches.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches hold BATCH_ROWS rows in a session that leaves their size open."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

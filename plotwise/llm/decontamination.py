@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import written
-from .textkit import PLAIN_TABLE, Block, batches, blocks, fold64, windows, words
+from .textkit import PLAIN_TABLE, Block, batches, blocks, fold64, give_back, windows, words
 
 _BITS = 20
 _WINDOWS = "k int, hash long, words binary, item string"
@@ -181,6 +181,7 @@ def _remover(held, text_col: str, spans: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
             else:
                 yield b if spans else b.filter(pa.array(keep))
+        give_back()
 
     return clean
 

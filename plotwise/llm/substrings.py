@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import key_filter, partitions, passes, place, written
-from .textkit import RAW_TABLE, U64, Block, batches, blocks, mix, run_hashes, span_hashes, words
+from .textkit import RAW_TABLE, U64, Block, batches, blocks, give_back, mix, run_hashes, span_hashes, words
 
 #: Text whose chunks share one message a bucket.
 _BLOCK = 4 << 20
@@ -198,7 +198,7 @@ def drop_repeats(documents: DataFrame, least_words: int = 20, id_col: str = "doc
 
     Columns: those of documents, then `n_words` and `n_removed` (words), `removed` (word ranges a, b, a, b, ...
     of the text as it was). The first occurrence of a passage stays, by document id and place. A document that
-    only repeats becomes an empty text; null and empty texts and rows without an id stay as they are; an
+    only repeats becomes an empty text, or its last few words; null and empty texts and rows without an id stay as they are; an
     empty table gives no rows. A repeat is found from the first cut inside it to the last, so some words at
     either end of a passage may stay.
 
@@ -253,6 +253,7 @@ def drop_repeats(documents: DataFrame, least_words: int = 20, id_col: str = "doc
                 old = part.column(k)
                 new = pa.array([texts[d] if d in texts else old[d].as_py() for d in range(len(old))], old.type) if texts else old
                 yield pa.RecordBatch.from_arrays([*[new if i == k else part.column(i) for i in range(len(inner))], pa.array(n_words), pa.array(n_removed), ranges], names=[*inner, "n_words", "n_removed", "removed"])
+        give_back()
 
     done = joined.unionByName(whole).mapInArrow(cut, schema)
     return done.toDF(*names, "n_words", "n_removed", "removed")

@@ -213,7 +213,18 @@ def fold64(h: np.ndarray) -> np.ndarray:
 
 
 def batches(it, columns: list[str]):
-    """Arrow batches as lists of the named columns, empty batches left out."""
+    """Arrow batches as lists of the named columns, empty batches left out. After the last one the worker gives memory back."""
     for b in it:
         if b.num_rows:
             yield [b.column(b.schema.get_field_index(c)) for c in columns]
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold free to the system: a worker process lives on through other stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others need none
+    if trim is not None:
+        trim(0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import PLAIN_TABLE, U64, Block, batches, blocks, distinct, mix, words
+from .textkit import PLAIN_TABLE, U64, Block, batches, blocks, distinct, give_back, mix, words
 
 SPAN, DECAY = 6, 0.7
 _CLASSES = 64
@@ -379,5 +379,6 @@ def drop_toxic(documents: DataFrame, model: Model, text_col: str = "text", thres
             if b.num_rows:
                 seen = np.concatenate([scorer.look(x) for x in blocks(b.column(b.schema.get_field_index(text_col)))])
                 yield b.filter(pa.array(held.value.scores(seen) < threshold))
+        give_back()
 
     return documents.mapInArrow(keep, documents.schema)
