@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm.cluster import written
+from plotwise.llm.cluster import small_batches, written
 from plotwise.llm.decontamination import decontaminate
 from plotwise.llm.near_copies import near_copies
 from plotwise.llm.packing import pack_powers_of_two
@@ -24,17 +24,30 @@ from plotwise.llm.substrings import drop_repeats
 from plotwise.llm.toxicity import drop_toxic, train
 
 
+def _bounded(stage):
+    """A stage whose Arrow batches are small: five operators in turn share the workers' memory."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
+@_bounded
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored toxic; the machine learns from the labelled documents among those given."""
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@_bounded
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each class of near copies; rows without an id stay."""
     dropped = written(near_copies(docs, n=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+@_bounded
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of passages; a document of which nothing is left goes. n_chars follows the text."""
     cut = drop_repeats(docs).where("n_removed = 0 or n_removed < n_words")
@@ -42,11 +55,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+@_bounded
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which ten consecutive words of a benchmark item occur."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, remove="documents")
 
 
+@_bounded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece of binary length, at most 2048 tokens."""
     return pack_powers_of_two(docs, vocabulary(), end_id=1, longest=2048)
