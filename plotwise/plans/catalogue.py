@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, numeric, text
-from ..operators import matching, photo, robust, spatial, stats, store
+from ..operators import matching, photo, robust, scene, spatial, stats, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -663,3 +663,89 @@ def photo_area(spark, sf_dir):
 def layout_complete(spark, sf_dir):
     """Wall-to-wall completion of the same photos."""
     return photo.complete_layout(photo.made_rooms(_t(spark, sf_dir, "part").where("p_size between 10 and 14").select(F.col("p_partkey").alias("photo_id"), "p_size")))
+
+
+# ---- scenes -----------------------------------------------------------------------------------------------
+
+
+@_query("SELECT CAST(a.n_regionkey AS BIGINT) AS scene, CAST(a.n_nationkey AS BIGINT) AS a, CAST(b.n_nationkey AS BIGINT) AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def view_pairs(spark, sf_dir):
+    views = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("scene"), F.col("n_nationkey").cast("long").alias("view"))
+    return scene.complete_pairs(views, "scene", "view")
+
+
+@_query(f"""WITH c AS (SELECT l_suppkey AS view, floor(l_quantity / CAST(5 AS DOUBLE)) AS cx, floor(l_discount / CAST(0.02 AS DOUBLE) * CAST(5 AS DOUBLE) / CAST(5 AS DOUBLE)) AS cy, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS v FROM lineitem GROUP BY ALL)
+SELECT CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, {_half_up("avg(v)", 4)} AS v, count(*) AS n_views FROM c GROUP BY ALL""")
+def cell_means(spark, sf_dir):
+    """Atlas cells: a view counts once in a cell, by its last point there."""
+    rows = _t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), "l_quantity", (F.col("l_discount") / 0.02 * 5.0).alias("y"), F.col("l_extendedprice").alias("v"), F.lit(1).alias("g"))
+    out = scene.cell_means(rows, ["g"], "l_suppkey", "o", "l_quantity", "y", 5.0, ["v"])
+    return out.select("cx", "cy", numeric.half_up(F.col("v"), 4).alias("v"), "n_views")
+
+
+@_query(f"""WITH p AS (SELECT l_suppkey, l_quantity * cos(CAST(0.4 AS DOUBLE)) + l_tax * sin(CAST(0.4 AS DOUBLE)) AS u, l_tax * cos(CAST(0.4 AS DOUBLE)) - l_quantity * sin(CAST(0.4 AS DOUBLE)) AS v FROM lineitem)
+SELECT l_suppkey, {_half_up("max(u) - min(u)", 6)} AS width, {_half_up("max(v) - min(v)", 6)} AS depth FROM p GROUP BY l_suppkey""")
+def oriented_extent(spark, sf_dir):
+    out = scene.oriented_extent(_t(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity", "l_tax", F.lit(0.4))
+    return out.select("l_suppkey", *[numeric.half_up(F.col(c), 6).alias(c) for c in ("width", "depth")])
+
+
+@_query("""WITH e AS (SELECT l_suppkey % 25 AS k, (l_orderkey % 180) * pi() / 180 AS a, CAST(l_linenumber AS DOUBLE) AS len FROM lineitem),
+g AS (SELECT k, s, sum(len * exp(-0.5 * power(least((a - s * pi() / 180) - floor((a - s * pi() / 180) / pi()) * pi(), pi() - ((a - s * pi() / 180) - floor((a - s * pi() / 180) / pi()) * pi())) / radians(11), 2))) AS score FROM e, range(0, 181) t(s) GROUP BY ALL)
+SELECT k, floor(max(score) * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS score FROM g GROUP BY k""")
+def dominant_angle(spark, sf_dir):
+    edges = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 25).alias("k"), F.radians((F.col("l_orderkey") % 180).cast("double")).alias("a"), F.col("l_linenumber").cast("double").alias("len"))
+    return scene.dominant_angle(edges, "k", "a", "len").select("k", numeric.half_up(F.col("score"), 3).alias("score"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) = 1")
+def best_per_side(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return scene.best_per_side(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", "o").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+@_query("""SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('click', 'view') THEN lower(trim(event_type)) ELSE 'auto' END AS mode, CAST(greatest(20, least(600, event_id % 1000)) AS BIGINT) AS iterations FROM events""")
+def settings_sanitize(spark, sf_dir):
+    """Enumerated settings with a default, and a clamped count."""
+    return _t(spark, sf_dir, "events").select("event_id", text.one_of(F.col("event_type"), ("click", "view"), "auto").alias("mode"), numeric.clamp(F.col("event_id") % 1000, 20, 600).cast("long").alias("iterations"))
+
+
+@_query("SELECT conv_id, turn FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
+def saved_semi(spark, sf_dir):
+    """Rows whose successor is stored already."""
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_semi")
+
+
+@_query(f"""WITH m AS (SELECT event_id, CAST(user_id % 20 AS BIGINT) AS photo, greatest(0, least(39, floor(value / CAST(3 AS DOUBLE) + CAST(0.5 AS DOUBLE)))) AS c FROM events),
+p AS (SELECT l_suppkey % 20 AS photo, l_orderkey % 40 AS c, max(l_extendedprice) AS x FROM lineitem GROUP BY ALL) SELECT event_id, x FROM m JOIN p USING (photo, c)""")
+def pixel_lookup(spark, sf_dir):
+    """Matches looked up at the pixel they round to, clipped to the image."""
+    matches = _t(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("photo"), (F.col("value") / 3.0).alias("u"), F.lit(0.2).alias("v"))
+    pixels = _t(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("photo"), (F.col("l_orderkey") % 40).cast("int").alias("col")).agg(F.max("l_extendedprice").alias("x")).withColumn("row", F.lit(0))
+    return scene.lookup_pixels(matches, pixels, ["photo"], "u", "v", 40, 1, ["x"]).select("event_id", "x")
+
+
+@_query()
+def similarity_transform(spark, sf_dir):
+    """Similarity transforms between the embeddings' first and second triples, by label."""
+    rows = _t(spark, sf_dir, "embeddings").select("label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(("ax", "ay", "az", "bx", "by", "bz"))])
+    return scene.similarity_transforms(rows, "label")
+
+
+@_query()
+def stats_document(spark, sf_dir):
+    """The statistics as one JSON text a window."""
+    from ..sources.tables import stats_document as document
+
+    return document(_stats(spark, sf_dir))
+
+
+@_query()
+def scene_fuse(spark, sf_dir):
+    """Floors of made-up scenes seen by two cameras half a metre apart."""
+    pixels = photo.made_rooms(_t(spark, sf_dir, "part").where("p_size = 12").select(F.col("p_partkey").alias("photo_id"), "p_size"))
+    views = pixels.withColumnRenamed("photo_id", "scene_id").withColumn("view", F.explode(F.array(F.lit(0), F.lit(1))))
+    eye = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
+    cameras = views.select("scene_id", "view").distinct().select("scene_id", "view", eye.alias("r"), F.array(F.col("view") * 0.5, F.lit(0.0), F.lit(0.0)).alias("t"))
+    return photo.fuse_views(views, cameras)
