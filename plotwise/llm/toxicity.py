@@ -109,7 +109,7 @@ def _design(seen: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(seen)), seen[:, 0], np.log1p(seen[:, 1])], 1)
 
 
-def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ridge: float = 1e-4, weights: np.ndarray | None = None) -> Model:
+def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ridge: float = 1e-5, weights: np.ndarray | None = None) -> Model:
     """A linear SVM (squared hinge, primal Newton steps) in the Nyström space of the landmarks, folded into triple weights."""
     marks = coded(landmarks)
     numbers = [(n, w) for n, w in triples(marks)]
@@ -160,7 +160,7 @@ def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ri
     return Model(weight, float(beta[-1]))
 
 
-def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_landmarks: int = 256, rounds: int = 3, least: float = 5.0, clean_weight: float = 1.0, seed: int = 7) -> Model:
+def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_landmarks: int = 384, rounds: int = 3, least: float = 5.0, clean_weight: float = 1.0, seed: int = 7) -> Model:
     """Learns from bags of words with labels; bags marked in `calibrate` only set the logistic."""
     rng, floor = np.random.default_rng(seed), -np.inf
     vocabulary: dict[str, int] = {}
