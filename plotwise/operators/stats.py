@@ -61,7 +61,6 @@ def comparisons(counts: DataFrame, areas: DataFrame) -> DataFrame:
     """Rates of the whole city and of every borough: window, level, grp, metric, rate. An area's population counts once."""
     pop = falsy_default(F.col("population"), DEFAULT_POPULATION)
     rows = counts.join(areas.select("area_id", "borough", pop.alias("pop")), "area_id")
-    rows.createOrReplaceTempView("plotwise_counts")
     sums = rows.groupingSets([["window", "metric"], ["window", "metric", "borough"]], "window", "metric", "borough").agg(F.sum("count").alias("n"), F.sum("pop").alias("p"), F.grouping("borough").alias("g"))
     return sums.select("window", F.when(F.col("g") == 1, "city").otherwise("borough").alias("level"), F.when(F.col("g") == 1, "ALL").otherwise(F.col("borough")).alias("grp"), "metric", half_up(safe_rate(F.col("n"), F.col("p")), 2).alias("rate"))
 
