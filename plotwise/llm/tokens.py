@@ -27,7 +27,7 @@ class Encoder:
     `keep` bounds the pieces held in memory; it costs time, not results.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -151,7 +151,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, keep: int = 400_000) -> Encoder:
+def encoder(path: str, keep: int = 200_000) -> Encoder:
     """One encoder a worker process and file, kept from task to task."""
     return Encoder(path, keep)
 
