@@ -653,16 +653,22 @@ def ratio_test(spark, sf_dir):
     return matching.ratio_test(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["label"], 0.9)
 
 
+def _rooms(spark, sf_dir):
+    """A photo a supplier, of a room whose sides follow from the supplier's key."""
+    photos = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("photo_id"), (10 + F.col("s_suppkey") % 5).cast("int").alias("p_size"))
+    return photo.made_rooms(photos, rows=24, cols=36)
+
+
 @_query()
 def photo_area(spark, sf_dir):
-    """Visible floor area of made-up photos of box rooms (the size of a room comes from a part's row)."""
-    return photo.visible_area(photo.made_rooms(_t(spark, sf_dir, "part").where("p_size between 10 and 14").select(F.col("p_partkey").alias("photo_id"), "p_size")))
+    """Visible floor area of a made-up photo of a box room for every supplier."""
+    return photo.visible_area(_rooms(spark, sf_dir))
 
 
 @_query()
 def layout_complete(spark, sf_dir):
     """Wall-to-wall completion of the same photos."""
-    return photo.complete_layout(photo.made_rooms(_t(spark, sf_dir, "part").where("p_size between 10 and 14").select(F.col("p_partkey").alias("photo_id"), "p_size")))
+    return photo.complete_layout(_rooms(spark, sf_dir))
 
 
 # ---- scenes -----------------------------------------------------------------------------------------------
@@ -744,8 +750,7 @@ def stats_document(spark, sf_dir):
 @_query()
 def scene_fuse(spark, sf_dir):
     """Floors of made-up scenes seen by two cameras half a metre apart."""
-    pixels = photo.made_rooms(_t(spark, sf_dir, "part").where("p_size = 12").select(F.col("p_partkey").alias("photo_id"), "p_size"))
-    views = pixels.withColumnRenamed("photo_id", "scene_id").withColumn("view", F.explode(F.array(F.lit(0), F.lit(1))))
+    views = _rooms(spark, sf_dir).withColumnRenamed("photo_id", "scene_id").withColumn("view", F.explode(F.array(F.lit(0), F.lit(1))))
     eye = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
     cameras = views.select("scene_id", "view").distinct().select("scene_id", "view", eye.alias("r"), F.array(F.col("view") * 0.5, F.lit(0.0), F.lit(0.0)).alias("t"))
-    return photo.fuse_views(views, cameras)
+    return photo.fuse_views(views, cameras, least_view=200)
