@@ -28,14 +28,23 @@ _HOLDS = {"ul", "ol", "table", "dl", "select", "menu"}
 #: Any of these ends an open paragraph.
 _ENDS_P = BLOCK_TAGS - {"option", "label", "button", "td", "th", "tr", "head", "html", "body", "title"}
 _EMPTY = {"hr", "br", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track"}
+#: Start tags that can stand in a head; any other ends it.
+_IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "template", "script", "style", "noscript", "noframes"}
+#: Start tags that end an open drawing, but within the elements of it that hold HTML.
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+) | (BLOCK_TAGS - {"title"})
+_SVG_HTML = {"foreignobject", "desc", "title"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|math|canvas|video|audio)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|iframe|textarea)(?=[\s/>])[^<>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*)>?",
     re.S | re.I,
 )
+_LAST = {name: re.compile(rf".*</{name}(?=[\s/>])", re.S | re.I) for name in ("template", "title")}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 PATH, WORDS, NUMBERS = 96, 32, 10
@@ -46,12 +55,28 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """Blocks of a page in order: text with references decoded and white space made single, tag path, characters inside links.
 
     The path holds block elements from the root, each followed by its class, id and role words. Scripts,
-    styles, comments and the head give no block. Broken markup is read as far as it goes.
+    styles, drawings, templates, comments and the head give no block. Only the raw-text elements run to the end
+    of the page where their end tag is missing: a drawing ends at the first tag that cannot stand in it, a head
+    at the first tag or text, and a template that is never closed is read. Broken markup is read as far as it goes.
     """
     out: list[tuple[str, tuple[str, ...], int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
-    linked = in_link = at = 0
+    linked = in_link = at = templates = 0
+    svg: list[str] = []
+    ends: dict[str, int] = {}
+
+    def last_end(name: str) -> int:
+        if name not in ends:
+            found = _LAST[name].match(page)
+            ends[name] = found.end() if found else -1
+        return ends[name]
+
+    def leave_head() -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "head":
+                stack[k:] = [("body", ())]
+                break
 
     def flush() -> None:
         nonlocal linked
@@ -63,7 +88,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not svg and not templates:
+            if stack and stack[-1][0] == "head" and not page[at : m.start()].isspace():
+                leave_head()
             buffer.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
@@ -72,7 +99,31 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if name is None:
             continue
         name = name.lower()
-        if name == "a":
+        if name == "template":
+            if m[2]:
+                templates = max(0, templates - 1) if at < last_end(name) else 0
+            elif at < last_end(name):
+                templates += 1
+            continue
+        if templates:
+            continue
+        if svg:
+            if m[2] and name in svg:
+                del svg[len(svg) - 1 - svg[::-1].index(name) :]
+                continue
+            if name not in _ENDS_SVG and not (m[2] and name == "a") or not m[2] and not _SVG_HTML.isdisjoint(svg):
+                if not m[2] and name not in _EMPTY and not m[4].endswith("/"):
+                    svg.append(name)
+                continue
+            svg.clear()
+        if stack and stack[-1][0] == "title" and name != "title" and at < last_end("title"):
+            continue  # a title holds text alone
+        if not m[2] and name not in _IN_HEAD and name != "body":
+            leave_head()
+        if name == "svg":
+            if not m[2] and not m[4].endswith("/"):
+                svg.append(name)
+        elif name == "a":
             in_link = 0 if m[2] else 1
         elif name == "br":
             buffer.append(" ")
@@ -90,6 +141,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             if name == "body":
                 while stack and stack[-1][0] in ("head", "title"):
                     stack.pop()
+                if any(t == "body" for t, _ in stack):
+                    continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _HOLDS:
                     break
@@ -99,7 +152,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             if name not in _EMPTY:
                 names = tuple(w for found in _NAMES.finditer(m[4] or "") for w in re.findall(r"[a-z]+", (found[1] or found[2] or found[3] or "").lower()))
                 stack.append((name, names))
-    if at < len(page):
+    if at < len(page) and not svg and not templates:
+        if stack and stack[-1][0] == "head" and not page[at:].isspace():
+            leave_head()
         buffer.append(page[at:])
     flush()
     return out

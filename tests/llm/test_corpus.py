@@ -415,6 +415,26 @@ def test_main_text(spark):
     assert (7, "", 0) in got and (8, "", 0) in got and len(got) == len(rows)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
+        ("<p>one <svg><title>Icon</title><g><text>no</text></g></svg> two</p>", ["one two"]),
+        ("<p>one <a href=/x><svg><path></a> two</p><div><svg><path d='m'><p>three</p></div><p>four</p>", ["one two", "three", "four"]),
+        ("<svg><foreignObject><div><p>no</p></div></foreignObject><text>no</text></svg><p>one</p>", ["one"]),
+        ("<p>one</p><object data=x><p>two</p><canvas>three<p>four<video src=v><p>five<audio><p>six", ["one", "two", "three", "four", "five", "six"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <math/> so</p>", ["if x=2 then so"]),
+        ("<p>one</p><video-player></video-player><template><p>no</p></template><p>two</p><template><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><script>no</script x><p>two</p><script>no", ["one", "two"]),
+        ("<html><head><title>a <b>t</b></title><meta name=x><p>one</p><p>two</p></html>", ["one", "two"]),
+        ("<html><head><title>t</title>one<p>two</p>", ["one", "two"]),
+        ("<html><head><title>t</title><link rel=x></head><body><p>one</p></body></html>", ["one"]),
+    ],
+)
+def test_page_reader_keeps_article_text(page, want):
+    assert [t for t, _, _ in html_text.leaf_blocks(page)] == want
+
+
 def test_labeller_on_unseen_layouts():
     model, maker = html_text.train(), html_text._Maker(np.random.default_rng(123))
     right = total = 0
