@@ -1,9 +1,7 @@
-"""Repeated passages by content-defined chunks: a gear hash cuts, digests meet in buckets, later copies go.
+"""Repeated passages, exactly: digests of every window of words meet in buckets, and windows that stand earlier go.
 
-Cuts are dense (a chunk has four words on average), so that a repeat is found to within a few words at
-either end. Chunks that short repeat by chance, so what is digested is a variable chunk of whole small
-ones: from each cut to the first cut at least `UNIT_WORDS` words on. Those overlap, which costs no more
-rows than the small chunks would.
+A word is removed if it lies in a window of `UNIT_WORDS` words that stands earlier, so a passage goes from its
+first repeated word to its last, and lines that repeat within a text are no special case.
 """
 
 from __future__ import annotations
@@ -18,21 +16,21 @@ from pyspark.sql import functions as F
 from .cluster import key_filter, partitions, passes, place, written
 from .textkit import RAW_TABLE, U64, Block, batches, blocks, give_back, mix, run_hashes, span_hashes, words
 
-#: Text whose chunks share one message a bucket.
-_BLOCK = 4 << 20
+#: Text whose windows share one message a bucket.
+_BLOCK = 1 << 20
 #: The gear table: 16 random bits a byte value. A 16-bit gear hash forgets all but the last 16 bytes.
 _GEAR = (mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F)) >> U64(48)).astype(np.uint16)
-#: A chunk ends after a word whose last 16 bytes have a gear hash below this: one word in four.
-_CUT = 1 << 14
-#: A word of more bytes than this is cut inside as well, one byte in 16, between characters.
+#: A word of more bytes than this is cut inside as well, between characters.
 _LONG_WORD = 64
-#: No chunk has more words than this.
-_MOST = 64
-#: Words that a digested chunk has at least.
-UNIT_WORDS = 12
+#: Of so many places in a row inside a long word, the one with the least gear hash is a cut, the last of equals.
+_LEAST_OF = 24
+#: Words of a window: what is shorter is no repeat.
+UNIT_WORDS = 20
+#: Buckets that a partition takes one after another, so that it holds an eighth of its digests at a time.
+_FINE = 8
 
-_MESSAGE = "bucket int, block long, digest binary, doc binary, chunk binary, ids array<long>, marks array<long>, chunks binary, sizes binary"
-_FLAGS = "block long, doc binary, chunk binary, ids array<long>, marks array<long>, chunks binary, sizes binary"
+_MESSAGE = "bucket int, block long, digest binary, doc binary, place binary, ends binary, ids array<long>, marks array<long>"
+_FLAGS = "block long, doc binary, place binary, ends binary, ids array<long>, marks array<long>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -43,65 +41,81 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (starts, ends), first word of every small chunk and one entry more, the digest from each, and each document's first chunk.
+def pieces(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word, and each document's first word (one entry more). Long words are cut into several.
 
-    A cut depends on the 16 bytes before it alone, so the cuts inside a passage are the same wherever it stands,
-    but for its first words. A chunk never crosses a document.
+    A cut inside a word depends on the bytes near it alone and some place in any `_LEAST_OF` is one, so a passage
+    without white space has the same cuts wherever it stands, but for its ends.
     """
     starts, ends, hashes, first = words(block, RAW_TABLE)
-    h = gear(block.data)
     long = np.flatnonzero(ends - starts > _LONG_WORD)
     if len(long):
-        at = [np.arange(starts[i] + 1, ends[i]) for i in long]
-        inner = np.concatenate(at)
-        inner = inner[(h[inner - 1] < 1 << 12) & ((block.data[inner] & 0xC0) != 0x80)]
-        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
-        hashes = span_hashes(RAW_TABLE[block.data], starts, ends)
-        first = np.searchsorted(starts, block.offsets, side="left")
-    n = len(starts)
-    begins = np.zeros(n + 1, bool)
-    begins[1:] = h[ends - 1] < _CUT if n else False
-    begins[first] = True
-    begins[n] = True
-    at = np.flatnonzero(begins)
-    wide = np.diff(at)
-    if len(wide) and wide.max() > _MOST:
-        since = np.arange(n) - np.repeat(at[:-1], wide)
-        begins[:n] |= since % _MOST == 0
-        at = np.flatnonzero(begins)
-    of_doc = np.searchsorted(at, first, side="left")
-    upto = units(at)
-    digests = run_hashes(hashes, at[:-1], at[upto]) if n else np.zeros(0, U64)
-    return starts, ends, at, digests, of_doc
-
-
-def units(at: np.ndarray) -> np.ndarray:
-    """For every small chunk the number of the cut that ends the digested chunk begun there (the last cut if none is far enough)."""
-    return np.minimum(np.searchsorted(at, at[:-1] + UNIT_WORDS, side="left"), len(at) - 1)
-
-
-def _runs(flags: np.ndarray, sizes: np.ndarray, least: int) -> list[int]:
-    """Word ranges [a, b, a, b, ...] of the runs of flagged chunks that have `least` words or more."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    word = np.concatenate([[0], np.cumsum(sizes)])
-    a, b = word[np.flatnonzero(edge == 1)], word[np.flatnonzero(edge == -1)]
-    keep = b - a >= least
-    return np.stack([a[keep], b[keep]], 1).ravel().tolist()
-
-
-def repeated_spans(documents: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        h = gear(block.data)
+        lo, size = starts[long] + 16, ends[long] - starts[long] - 16
+        inner = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        word = np.repeat(long, size)
+        between = (block.data[inner] & 0xC0) != 0x80
+        inner, word = inner[between], word[between]
+        if len(inner) >= _LEAST_OF:
+            k = _LEAST_OF - 1
+            behind = np.lib.stride_tricks.sliding_window_view(h[inner - 1][::-1], _LEAST_OF).argmin(1)[::-1]
+            at = np.arange(len(behind)) + k - behind
+            inner = inner[np.unique(at[word[k:] == word[: len(word) - k]])]
+            starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+            hashes = span_hashes(RAW_TABLE[block.data], starts, ends)
+            first = np.searchsorted(starts, block.offsets, side="left")
+    return starts, ends, hashes, first
+
+
+def later(digest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """True where an entry's digest has another entry at a smaller (doc, place)."""
+    out = np.zeros(len(digest), bool)
+    order = np.argsort(digest)
+    same = digest[order[1:]] == digest[order[:-1]]
+    many = np.zeros(len(digest), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    some = order[many]
+    some = some[np.lexsort((place[some], doc[some], digest[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = digest[some[1:]] != digest[some[:-1]]
+    lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    out[some] = (doc[some] != doc[lead]) | (place[some] != place[lead])
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes of the numbers, then all second ones: high bytes that are alike take no room once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges with those that overlap or touch made one, by document and place."""
+    order = np.lexsort((start, doc))
+    a, b = (doc[order] << 32) | start[order], np.maximum.accumulate((doc[order] << 32) | end[order])
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > b[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(a)) - 1 if len(a) else np.zeros(0, np.int64)
+    return a[new] >> 32, a[new] & 0xFFFFFFFF, b[last] & 0xFFFFFFFF
+
+
+def repeated_spans(documents: DataFrame, least_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word ranges of every document that repeat what stands earlier: doc_id, mark (hash of the text), spans.
 
-    Earlier means a smaller document id, or before in the same document. Ranges are runs of repeated chunks that
-    overlap or touch, of `least_words` words or more together; only documents with such a run have a row. Rows without an id are
-    not looked at; rows of one id are one document.
+    Earlier means a smaller document id, or before in the same document. Ranges are all windows of `least_words`
+    words that stand earlier, those that overlap or touch made one; only documents with such a window have a row.
+    Rows without an id are not looked at; rows of one id are one document.
 
     Per block of documents each digest travels once (its first occurrence there) to the bucket its hash names;
-    the bucket keeps the smallest (document, chunk) and flags the others back to their blocks. A digest in
+    the bucket keeps the smallest (document, word) and flags the others back to their blocks. A digest in
     every document costs one entry a block, not a group.
     """
-    n_buckets = partitions(documents.sparkSession)
+    n_parts = partitions(documents.sparkSession)
+    n_buckets = n_parts * _FINE
 
     def cut(it) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,96 +125,86 @@ def repeated_spans(documents: DataFrame, least_words: int = 20, id_col: str = "d
             ids = ids.to_numpy()
             for block in blocks(texts, _BLOCK):
                 own = ids[block.rows]
-                _, _, at, digests, first = chunks(block)
+                _, _, hashes, first = pieces(block)
                 doc = np.repeat(np.arange(len(own)), np.diff(first))
-                chunk = np.arange(len(digests)) - np.repeat(first[:-1], np.diff(first))
-                last = at[first[1:]][doc]  # a digested chunk lies in its document and has its words
-                whole = np.flatnonzero((at[:-1] + UNIT_WORDS <= last) if len(doc) else [])
-                # the first occurrence of each digest in the block, by document id and place
-                order = whole[np.lexsort((chunk[whole], own[doc[whole]], digests[whole]))]
-                new = np.ones(len(order), bool)
-                new[1:] = digests[order[1:]] != digests[order[:-1]]
-                lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-                again = order[(own[doc[order]] != own[doc[lead]]) | (chunk[order] != chunk[lead])]
-                once = order[new]
-                bucket = (digests[once] % U64(n_buckets)).astype(np.int64)
-                once, bucket = once[np.argsort(bucket, kind="stable")], np.sort(bucket)
+                whole = np.flatnonzero(np.arange(len(doc)) + least_words <= first[1:][doc])  # a window lies in its document
+                doc = doc[whole]
+                place = whole - first[doc]
+                digests = run_hashes(hashes, whole, whole + least_words) if len(whole) else np.zeros(0, U64)
+                again = later(digests, own[doc], place)
+                once = np.flatnonzero(~again)
+                bucket = (digests[once] % U64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.int64)
+                order = np.argsort(bucket, kind="stable")
+                once, bucket = once[order], bucket[order].astype(np.int64)
                 edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 rows = []
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     part = once[edges[k] : edges[k + 1]]
-                    rows.append({"bucket": k, "block": number, "digest": digests[part].tobytes(), "doc": own[doc[part]].astype("<i8").tobytes() + doc[part].astype("<u4").tobytes(), "chunk": chunk[part].astype("<u4").tobytes()})
-                rows.append({"bucket": n_buckets, "block": number, "doc": doc[again].astype("<u4").tobytes(), "chunk": chunk[again].astype("<u4").tobytes(), "ids": own.tolist(), "marks": marks.take(pa.array(block.rows)).to_pylist(), "chunks": np.diff(first).astype("<u4").tobytes(), "sizes": np.diff(at).astype(np.uint8).tobytes()})
+                    rows.append({"bucket": k, "block": number, "digest": digests[part].tobytes(), "doc": _planes(own[doc[part]].astype("<i8")), "place": _planes(np.diff(doc[part], prepend=0).astype("<u4")) + _planes(place[part].astype("<u4"))})
+                d, a, b = merged(doc[again], place[again], place[again] + least_words)
+                rows.append({"bucket": n_buckets, "block": number, "doc": d.astype("<u4").tobytes(), "place": a.astype("<u4").tobytes(), "ends": b.astype("<u4").tobytes(), "ids": own.tolist(), "marks": marks.take(pa.array(block.rows)).to_pylist()})
                 number += 1
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        """Flags of one bucket."""
+        flag = later(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 4)))
+        at, rows = 0, []
+        for block, d, _, local, place in held:
+            own = flag[at : at + len(d)]
+            at += len(d)
+            if own.any():
+                rows.append({"block": block, "doc": local[own].tobytes(), "place": place[own].tobytes()})
+        return pa.RecordBatch.from_pylist(rows, schema=_FLAG_ARROW)
+
     def meet(it) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        bucket = -1
         for b in it:
             for row in b.to_pylist():
+                if row["bucket"] != bucket and held:
+                    yield settle(held)
+                    held = []
+                bucket = row["bucket"]
                 if row["digest"] is None:
                     yield pa.RecordBatch.from_pylist([{k: row[k] for k in _FLAG_ARROW.names}], schema=_FLAG_ARROW)
                     continue
                 n = len(row["digest"]) // 8
-                held.append((row["block"], np.frombuffer(row["digest"], U64), np.frombuffer(row["doc"], "<i8", n), np.frombuffer(row["doc"], "<u4", n, 8 * n), np.frombuffer(row["chunk"], "<u4")))
-        if not held:
-            return
-        digest, doc, chunk = (np.concatenate([h[k] for h in held]) for k in (1, 2, 4))
-        order = np.lexsort((chunk, doc, digest))
-        new = np.ones(len(order), bool)
-        new[1:] = digest[order[1:]] != digest[order[:-1]]
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        flag = np.zeros(len(order), bool)
-        flag[order] = (doc[order] != doc[lead]) | (chunk[order] != chunk[lead])
-        at, rows = 0, []
-        for block, d, _, local, c in held:
-            own = flag[at : at + len(d)]
-            at += len(d)
-            if own.any():
-                rows.append({"block": block, "doc": local[own].tobytes(), "chunk": c[own].tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, schema=_FLAG_ARROW)
+                held.append((row["block"], np.frombuffer(row["digest"], U64), _numbers(row["doc"], "<i8"), np.cumsum(_numbers(row["place"][: 4 * n], "<u4"), dtype=np.uint32), _numbers(row["place"][4 * n :], "<u4")))
+        if held:
+            yield settle(held)
+        give_back()
 
     def decide(key, table):
         head, parts = None, []
         for row in table.to_pylist():
             head = row if row["ids"] is not None else head
-            parts.append((np.frombuffer(row["doc"], "<u4").astype(np.int64), np.frombuffer(row["chunk"], "<u4")))
-        count, sizes = np.frombuffer(head["chunks"], "<u4").astype(np.int64), np.frombuffer(head["sizes"], np.uint8).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(count)])
-        flags = np.zeros(len(sizes), bool)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        upto = units(at)
-        cover = np.zeros(len(sizes) + 1, np.int64)
-        for doc, chunk in parts:
-            np.add.at(cover, first[doc] + chunk, 1)
-            np.add.at(cover, upto[first[doc] + chunk], -1)
-        flags = np.cumsum(cover[:-1]) > 0
-        out = {"doc_id": [], "mark": [], "spans": []}
-        for d in np.unique(np.searchsorted(first, np.flatnonzero(flags), side="right") - 1).tolist():
-            spans = _runs(flags[first[d] : first[d + 1]], sizes[first[d] : first[d + 1]], least_words)
-            if spans:
-                for name, x in (("doc_id", head["ids"][d]), ("mark", head["marks"][d]), ("spans", spans)):
-                    out[name].append(x)
+            doc, start = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("doc", "place"))
+            parts.append((doc, start, start + least_words if row["ends"] is None else np.frombuffer(row["ends"], "<u4").astype(np.int64)))
+        doc, start, end = merged(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        found, at = np.unique(doc, return_index=True)
+        spans = np.split(np.stack([start, end], 1), at[1:])
+        out = {"doc_id": [head["ids"][d] for d in found], "mark": [head["marks"][d] for d in found], "spans": [x.ravel().tolist() for x in spans[: len(found)]]}
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("spans", pa.list_(pa.int64()))]))
 
     text = F.col(text_col).cast("string")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).where("doc_id is not null")
-    sent = rows.mapInArrow(cut, _MESSAGE).repartition(n_buckets, "bucket")
+    sent = rows.mapInArrow(cut, _MESSAGE).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(meet, _FLAGS).groupBy("block").applyInArrow(decide, "doc_id long, mark long, spans array<long>")
 
 
-_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("digest", "doc", "chunk")], ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("chunks", pa.binary()), ("sizes", pa.binary())])
-_FLAG_ARROW = pa.schema([_ARROW.field(c) for c in ("block", "doc", "chunk", "ids", "marks", "chunks", "sizes")])
+_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("digest", "doc", "place", "ends")], ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+_FLAG_ARROW = pa.schema([_ARROW.field(c) for c in ("block", "doc", "place", "ends", "ids", "marks")])
 
 
-def drop_repeats(documents: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(documents: DataFrame, least_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of documents with later copies of passages cut from its text, and what was cut.
 
     Columns: those of documents, then `n_words` and `n_removed` (words), `removed` (word ranges a, b, a, b, ...
     of the text as it was). The first occurrence of a passage stays, by document id and place. A document that
-    only repeats becomes an empty text, or its last few words; null and empty texts and rows without an id stay as they are; an
-    empty table gives no rows. A repeat is found from the first cut inside it to the last, so some words at
-    either end of a passage may stay.
+    only repeats becomes an empty text; null and empty texts and rows without an id stay as they are; an
+    empty table gives no rows. A repeat of `least_words` words or more goes from its first word to its last; in
+    text without white space, from the first cut inside it to the last.
 
     Only texts with something to cut are shuffled (a 1 MB filter over their ids, of fixed size, passes them);
     the others are copied as they are read.
@@ -240,7 +244,7 @@ def drop_repeats(documents: DataFrame, least_words: int = 20, id_col: str = "doc
                 part = b.slice(int(block.rows[0]), len(block.rows))
                 ranges = part.column(part.schema.get_field_index("removed"))
                 listed = ranges.to_pylist() if ranges.null_count < len(ranges) else [None] * len(ranges)
-                starts, ends, _, _, _ = chunks(block)
+                starts, ends, _, _ = pieces(block)
                 first = np.searchsorted(starts, block.offsets, side="left")
                 n_words, texts = np.diff(first), {}
                 n_removed = np.array([sum(r[1::2]) - sum(r[::2]) if r else 0 for r in listed], np.int64)

@@ -271,6 +271,39 @@ def test_substrings_find_planted_passages_and_leave_others(spark):
     assert got[95].n_removed > 0
 
 
+def test_substrings_are_those_of_all_windows(spark):
+    rng = np.random.default_rng(7)
+    own = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    texts = []
+    for i in range(40):
+        passage = own(int(rng.integers(20, 60)))
+        texts += [own(30) + passage + own(30), own(int(rng.integers(0, 9))) + passage + own(7)]
+    texts += [own(3) + own(n) * 8 + own(3) for n in range(3, 13)] + [own(40) * 2, ["a"] * 19, ["a"] * 60]
+    texts += [[f"x{x}" for x in rng.integers(0, 2, 300)]]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        hit = set()
+        for k in range(len(t) - 19):
+            window = tuple(t[k : k + 20])
+            hit |= set(range(k, k + 20)) if window in seen else set()
+            seen.add(window)
+        want[i] = hit
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    for r in substrings.drop_repeats(df).collect():
+        spans = r.removed or []
+        assert {k for a, b in zip(spans[::2], spans[1::2]) for k in range(a, b)} == want[r.doc_id], r.doc_id
+        assert r.text.split() == [w for k, w in enumerate(texts[r.doc_id]) if k not in want[r.doc_id]]
+
+
+def test_substrings_without_white_space(spark):
+    rng = np.random.default_rng(8)
+    signs = lambda k: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, k))
+    line = signs(40)
+    rows = [(i, signs(int(rng.integers(60, 90))) + line * 30 + signs(80)) for i in range(4)]
+    got = {r.doc_id: r for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i].text) < 60 + 90 + 80 + (700 if i == 0 else 120) for i in got)
+
+
 def test_substrings_odd_rows(odd):
     rows = substrings.drop_repeats(odd)
     assert rows.columns == [*odd.columns, "n_words", "n_removed", "removed"]
