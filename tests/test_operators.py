@@ -79,6 +79,26 @@ def test_triangulated_area_of_known_shapes():
     assert photo.alpha_area(np.zeros((2, 2))) == (0.0, 0.0) and photo.alpha_area(np.zeros((50, 2)))[0] < 1e-9
 
 
+def test_every_point_counts_in_areas_and_planes(spark):
+    rng = np.random.default_rng(3)
+    grid = np.stack(np.meshgrid(np.arange(100) / 20, np.arange(100) / 20), -1).reshape(-1, 2)
+    hole = (np.abs(grid - [2.5, 2.5]) < 0.5).all(1)  # a metre wide, as under furniture
+    alpha, convex = photo.alpha_area(grid[~hole])
+    assert convex == pytest.approx(4.95**2, rel=1e-6) and alpha == pytest.approx(4.95**2 - 1.0, abs=0.15)
+    p = rng.uniform(0, 1, (300, 2))
+    tri = photo.triangulate(p)
+    centre, radius = photo._circles(p, tri)
+    assert (((p[None] - centre[:, None]) ** 2).sum(2) < radius[:, None] * (1 - 1e-4)).sum() == 0
+    gap = np.sqrt(np.where(np.eye(300, dtype=bool), np.inf, ((p[:, None] - p[None]) ** 2).sum(2)).min(1))
+    u, v = p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]]
+    want = (np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2)[radius <= (5 * np.median(gap)) ** 2].sum()
+    assert photo.alpha_area(p)[0] == pytest.approx(want, rel=1e-9)
+    # of two planes the one with more points wins, although each second point in order lies on the other
+    rows = [(1, float(x), float(i % 2 == 0 and i < 8000), i * 1e-4) for i, x in enumerate(rng.uniform(0, 1, 8100))]
+    got = photo.fit_planes(spark.createDataFrame(rows, "g int, x double, y double, z double"), "g").first()
+    assert abs(got.py) > 0.99 and abs(got.d) < 0.1 and got.n_points == 8100
+
+
 def test_planes_and_layouts_of_made_rooms(spark):
     photos = spark.createDataFrame([(1, 12), (2, 14)], "photo_id long, p_size int")
     pixels = photo.made_rooms(photos).cache()
