@@ -312,14 +312,18 @@ class Scorer:
 _BAG = "doc_id long, toxic int, words array<string>"
 
 
+def learnt_from(labels: DataFrame, id_col: str) -> DataFrame:
+    """The rows of labels that training may see: the crc32 of the id as text is not a multiple of 5."""
+    return labels.where(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) != 0)
+
+
 def training_bags(documents: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str, most_words: int = 4000) -> list:
     """Words of at most `sample` labelled documents of each class, first by a hash of the id.
 
     Labels are learnt only from rows whose crc32 of the id as text is not a multiple of 5. A sampled document
     of more than `most_words` words gives so many of them, spread over it, so the driver's share is bounded.
     """
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    known = labels.where(F.pmod(fold, F.lit(5)) != 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
+    known = learnt_from(labels, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(sample) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -344,7 +348,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 1500, id_col: s
     table = training_bags(documents, labels, sample, id_col, text_col, label_col).sort_by("doc_id")
     ids, toxic = table.column("doc_id").to_numpy(), table.column("toxic").to_numpy().astype(np.int64)
     calibrate = mix(ids.astype(np.int64).view(U64)) % U64(5) == 0
-    shares = {r["k"]: r["count"] for r in labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("int").alias("k")).count().collect()}
+    shares = {r["k"]: r["count"] for r in learnt_from(labels, id_col).where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("int").alias("k")).count().collect()}
     weight = (shares.get(0, 1) / max(1, shares.get(1, 1))) / (max(1, (toxic == 0).sum()) / max(1, (toxic > 0).sum()))
     return fit(table.column("words").to_pylist(), toxic, calibrate, clean_weight=max(1.0, weight) ** 0.5)
 

@@ -422,6 +422,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert abs(kept - 525) < 25
 
 
+def test_toxicity_learns_nothing_from_held_out_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} {'bad' if i % 4 == 0 else 'good'} x{i}") for i in range(60)], "doc_id long, text string")
+    weights = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, toxic, calibrate, clean_weight: weights.append(clean_weight))
+    for held_out in (0, 1):
+        rows = [(i, held_out if zlib.crc32(str(i).encode()) % 5 == 0 else int(i % 4 == 0)) for i in range(60)]
+        toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"), sample=5)
+    assert weights[0] == weights[1] > 1
+
+
 def test_toxicity_odd_rows(odd):
     empty = toxicity.fit([["a"], ["b"]], np.array([0, 0]), np.array([False, True]))
     rows = toxicity.score_toxicity(odd, empty).collect()
