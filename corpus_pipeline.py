@@ -13,14 +13,13 @@ one stage's tasks at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plotwise.llm.cluster import small_batches, written
 from plotwise.llm.decontamination import decontaminate
 from plotwise.llm.near_copies import near_copies
 from plotwise.llm.packing import pack_powers_of_two
 from plotwise.llm.queries import vocabulary
-from plotwise.llm.substrings import drop_repeats
+from plotwise.llm.substrings import without_repeats
 from plotwise.llm.toxicity import drop_toxic, train
 
 
@@ -49,10 +48,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_bounded
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later copies of passages; a document of which nothing is left goes. n_chars follows the text."""
-    cut = drop_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Cuts later copies of passages; a document of which nothing is left goes. n_chars, where it is a column, follows the text."""
+    return without_repeats(docs)
 
 
 @_bounded

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,16 @@ _made: list[tuple[weakref.ref, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it; an error where it is unset.
+
+    A local session (master local or local[n]) without the setting gets a folder in its warehouse: one machine shares all its folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plotwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_plotwise"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,15 +64,29 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
-#: Rows of one Arrow batch where the session names no number of its own: long texts make large batches.
-BATCH_ROWS = 2000
-_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of one Arrow batch: long texts would make large batches, and a worker holds some copies of one.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (2000, 10_000), "spark.sql.execution.arrow.maxBytesPerBatch": (4 << 20, (1 << 31) - 1)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets batches hold BATCH_ROWS rows in a session that leaves their size open."""
-    if spark.conf.get(_BATCH_KEY, None) is None:
-        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    """Bounds batches by bytes and rows in a session that leaves Spark's own bounds as they are; a smaller bound of its own stays."""
+    for key, (ours, theirs) in _BATCHES.items():
+        said = spark.conf.get(key, None)
+        if said is None or int(said.rstrip("bB")) >= theirs or int(said.rstrip("bB")) <= 0:
+            spark.conf.set(key, str(ours))
+
+
+@contextmanager
+def lent(spark: SparkSession, value) -> Iterator:
+    """A broadcast for as long as the block runs: workers drop it afterwards, for they live on through other stages.
+
+    For what is written within the block; a plan that is run later needs its broadcast until then.
+    """
+    held = spark.sparkContext.broadcast(value)
+    try:
+        yield held
+    finally:
+        held.destroy()
 
 
 def partitions(spark: SparkSession) -> int:

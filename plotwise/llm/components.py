@@ -14,7 +14,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Large star: every node hands its larger neighbours its smallest one. Small star: every node hands its
     smaller neighbours, and itself, the smallest. Both are a minimum per node, added up before the shuffle,
     and a join; the table never has more rows than links and nodes together, and a path of n nodes takes
-    some log(n) rounds. Links of a node with itself and null ends are left out.
+    some log(n) rounds. Links of a node with itself and null ends are left out. If `rounds` do not settle it, that is an error.
     """
     spark = links.sparkSession
     a, b = F.col("a"), F.col("b")
@@ -34,4 +34,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if before == state:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

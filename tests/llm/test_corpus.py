@@ -295,6 +295,35 @@ def test_substrings_are_those_of_all_windows(spark):
         assert r.text.split() == [w for k, w in enumerate(texts[r.doc_id]) if k not in want[r.doc_id]]
 
 
+@pytest.mark.parametrize("least", [2, 5, 12, 20, 33])
+def test_chunks_stand_in_every_repeat(least):
+    rng = np.random.default_rng(least)
+    own = lambda k: " ".join("abcdefghijklmnop"[: rng.integers(1, 9)] + str(rng.integers(50)) for _ in range(k))
+    for _ in range(60):
+        passage = own(least)
+        block = next(textkit.blocks(pa.array([f"{own(30)} {passage} {own(9)}", f"{own(int(rng.integers(1, 9)))} {passage} {own(9)}"])))
+        digests, doc, place, size = substrings.chunks(block, least)
+        both = set(digests[doc == 0].tolist()) & set(digests[doc == 1].tolist())
+        assert both and size.max() <= least
+
+
+def test_substrings_repeated_ids_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 7, 5), (5, text, 8, 6), (5, text, 9, 7), (6, "own " + text[:40], 1, 8), (None, text, 2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, n_words int")
+    got = substrings.drop_repeats(docs)
+    assert got.columns == ["doc_id", "text", "n_words", "n_removed", "removed"]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got.collect()) == [(0, 0), (1, 0), (5, 60), (5, 60), (6, 0)]
+    kept = substrings.without_repeats(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.n_removed, r.n_words) for r in kept.collect()) == [(0, 2, 9), (1, 7, 5), (6, 1, 8)]
+    import corpus_pipeline
+
+    assert corpus_pipeline.substring_dedup(spark, docs, SF).columns == docs.columns
+    assert substrings.without_repeats(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        substrings.drop_repeats(docs, 1)
+
+
 def test_substrings_without_white_space(spark):
     rng = np.random.default_rng(8)
     signs = lambda k: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, k))
