@@ -3,14 +3,16 @@
 A set is the distinct word n-grams of a text, as 64-bit hashes. Two relations between sets save most work:
 
 Among index lists. Sets are ordered by hash, with n-grams that are known to be common put last, and only a
-prefix is indexed: sets alike enough share an n-gram there. A list skips blocks by set size and by the place
-of the n-gram in either set, which bound the overlap from above; what stands in a bound's way is never
-emitted. A histogram of each set (512 counts) then bounds the difference from below.
+prefix is indexed: sets alike enough share an n-gram there. A list is sorted by set size and, within a size, by
+the n-gram's place in the set: such a block of one size is skipped whole if its size or the probing set's own
+place rules it out, and left at the first place that does. Pairs that stand in a bound's way are never made.
 
 Among answers. Sets that are equal share one answer: only the smallest document of a class is indexed. In
-long lists, which near copies make, sets are first compared with one leader for each band of sizes; those
-that link need no comparison with one another, since a class of links is all that is asked, and only pairs
-whose answers are still apart are compared at all, in blocks of bounded size.
+long lists, which near copies make, each set is first compared with one leader for each band of sizes. Then the
+answers of a leader's followers are derived from the leader's own: if a leader shares c n-grams with another
+set, a follower that has e n-grams beyond the leader shares at most c + e. So leaders (and sets that follow
+none) are compared once, and only followers that this leaves open are compared themselves. What is in one class
+already needs no answer at all.
 
 What is left is verified on the texts themselves; classes are components of verified links.
 """
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import key_filter, partitions, passes, place, written
+from .cluster import key_filter, lent, partitions, passes, place, remove, written
 from .components import components
-from .textkit import WHITE_TABLE, U64, Block, batches, blocks, fold64, mix, windows, words
+from .textkit import WHITE_TABLE, U64, Block, batches, blocks, fold64, give_back, mix, windows, words
 
 #: An index list of at most so many sets is paired at once; a longer one goes by leaders.
 LIGHT = 64
@@ -67,11 +69,9 @@ class Rule:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return len(a) > 0 and len(b) > 0 and 100 * both >= self.percent * (len(a) + len(b) - both)
 
-    def may(self, size_a, place_a, size_b, place_b):
-        """Pairs that the sizes and the places of a shared n-gram leave possible."""
-        small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-        rest = 1 + np.minimum(size_a - place_a, size_b - place_b) - 1
-        return (100 * small >= self.percent * large) & (np.minimum(place_a, place_b) + rest >= self.overlap(size_a, size_b))
+    def reach(self, size, other):
+        """The last place at which the first n-gram that a set shares with one of the other size can stand: enough must follow it in either."""
+        return size - self.overlap(size, other)
 
     def band(self, size):
         """Sets of one band are within the threshold by size; sets two bands apart are not."""
@@ -132,7 +132,7 @@ def common_grams(rows: DataFrame, rule: Rule, n_buckets: int) -> np.ndarray:
             many = total >= COMMON
             yield pa.RecordBatch.from_arrays([pa.array(fold64(grams[at][many])), pa.array(total[many])], names=["gram", "n"])
 
-    sent = rows.select("text").mapInArrow(send, "bucket int, grams binary, counts binary").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    sent = dealt(rows.select("text").mapInArrow(send, "bucket int, grams binary, counts binary"))
     found = sent.mapInArrow(add, "gram long, n long").orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").toPandas()
     return np.sort(found["gram"].to_numpy(np.int64).view(U64))
 
@@ -142,7 +142,9 @@ def index(rows: DataFrame, rule: Rule, common, n_buckets: int) -> DataFrame:
     kinds = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("gram", "doc", "d1", "size", "place")]])
 
     def send(it) -> Iterator[pa.RecordBatch]:
-        known = common.value
+        from pyspark import TaskContext
+
+        known, number = common.value, TaskContext.get().partitionId() << 22
         for ids, texts in batches(it, ["doc_id", "text"]):
             ids, parts, own, seen = ids.to_numpy(), [[] for _ in range(5)], [], {}
             for block in blocks(texts):
@@ -169,16 +171,53 @@ def index(rows: DataFrame, rule: Rule, common, n_buckets: int) -> DataFrame:
             some = np.flatnonzero(np.diff(edges))
             # common n-grams' entries are messages of their own, dealt out evenly: their lists are built as rows, not in one task
             cut = [order[i : min(i + 50_000, edges[k + 1])] for k in some for i in range(edges[k], edges[k + 1], 50_000)]
-            label = [int(bucket[x[0]]) if bucket[x[0]] < n_buckets else -1 - i for i, x in enumerate(cut)]
+            number += 1
+            spread = mix(np.arange(len(cut), dtype=U64) + (U64(number) << U64(20))) % U64(1 << 30)
+            label = [int(bucket[x[0]]) if bucket[x[0]] < n_buckets else -1 - int(y) for x, y in zip(cut, spread)]
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), *[pa.array([v[x].astype(k).tobytes() for x in cut], pa.binary()) for v, k in ((gram, U64), (doc, "<i8"), (d1, U64), (size, "<u4"), (at, "<u4"))]], schema=kinds)
 
     sent = rows.mapInArrow(send, "bucket int, gram binary, doc binary, d1 binary, size binary, place binary")
-    return sent.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt(sent)
 
 
 _CANDIDATES = "a long, b long, gram long, place long, size long, d1 long"
 
 
+def list_pairs(gram: np.ndarray, size: np.ndarray, place_: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """Pairs of entries of one list that size and place leave possible; entries come sorted by (gram, size, place).
+
+    A block is what a list holds of one size. Each entry is set against its own block and the larger sizes that
+    can link; a block is skipped where the entry's own place is beyond reach, else read up to the last place
+    within reach. Returns both sides of each pair, and how many blocks were met, skipped whole, and left early.
+    """
+    n = len(gram)
+    new = np.ones(n, bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (size[1:] != size[:-1])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], n)
+    own = np.cumsum(new) - 1  # the block of each entry
+    block_size = size[begin]
+    # blocks of a list are in order of size: the last one that an entry of block k can link with
+    list_no = np.cumsum(np.concatenate([[True], gram[begin][1:] != gram[begin][:-1]]))
+    width = int(block_size.max(initial=0)) + 2
+    order = list_no * width + block_size
+    last = np.searchsorted(order, list_no * width + np.minimum(100 * block_size // rule.percent, width - 1), side="right")
+    count = (last - np.arange(len(begin)))[own]
+    x = np.repeat(np.arange(n), count)
+    block = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + own[x]
+    met = len(x)
+    open_ = place_[x] <= rule.reach(size[x], block_size[block])
+    x, block = x[open_], block[open_]
+    deep = int(place_.max(initial=0)) + 2
+    limit = np.minimum(rule.reach(block_size[block], size[x]), deep - 2)
+    stop = np.searchsorted(own * deep + place_, block * deep + limit, side="right")
+    start = np.where(block == own[x], x + 1, begin[block])
+    many = np.maximum(stop - start, 0)
+    left = np.repeat(x, many)
+    right = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+    return left, right, {"met": met, "skipped": met - len(x), "left": int((stop < end[block]).sum())}
+
+
 def candidates(entries: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) from short lists; entries of long lists (a, gram, place, size, d1; b null) for the leaders."""
     names = [x.split()[0] for x in _CANDIDATES.split(", ")]
@@ -207,27 +246,33 @@ def candidates(entries: DataFrame, rule: Rule) -> DataFrame:
             new[1:] = (gram[1:] != gram[:-1]) | (d1[1:] != d1[:-1])
             gram, doc, d1, size, at = (x[new] for x in (gram, doc, d1, size, at))
             begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            length = np.diff(np.concatenate([begin, [len(gram)]]))
+            length = np.diff(np.append(begin, len(gram)))
             long = np.repeat(length > rule.light, length)
             if long.any():
                 yield out(doc[long], None, gram[long], at[long], size[long], d1[long])
+            short = np.flatnonzero(~long)
+            short = short[np.lexsort((at[short], size[short], gram[short]))]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], gram[short][1:] != gram[short][:-1]])), len(short))
+            edges = np.unique(edges[np.searchsorted(edges, np.minimum(np.arange(0, len(short) + 20_000, 20_000), len(short)))])
             found = []
-            for n in np.unique(length[(length > 1) & (length <= rule.light)]).tolist():
-                i, j = np.triu_indices(n, 1)
-                for lo in range(0, (length == n).sum(), max(1, 200_000 // len(i))):
-                    rows_ = begin[length == n][lo : lo + max(1, 200_000 // len(i))]
-                    x, y = (rows_[:, None] + i).ravel(), (rows_[:, None] + j).ravel()
-                    ok = rule.may(size[x], at[x], size[y], at[y])
-                    x, y = doc[x[ok]], doc[y[ok]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            for lo, hi in zip(edges[:-1], edges[1:]):  # whole lists, some 20,000 entries at a time
+                part = short[lo:hi]
+                x, y, _ = list_pairs(gram[part], size[part], at[part], rule)
+                x, y = doc[part[x]], doc[part[y]]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
                 yield out(pairs[:, 0], pairs[:, 1])
 
     return entries.mapInArrow(find, _CANDIDATES)
 
 
+def dealt(messages: DataFrame) -> DataFrame:
+    """Messages by their bucket's number over all partitions alike, sorted by it."""
+    n = partitions(messages.sparkSession)
+    return messages.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket")
+
+
 def _numbered(it, kinds: dict) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """Each bucket's number and its messages joined, column by column; the rows of a task come sorted by bucket.
 
@@ -248,81 +293,136 @@ def _numbered(it, kinds: dict) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
 
 
 def by_histogram(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that the histograms of both sets leave possible."""
+    """Pairs (a, b, size of b) that the histograms of both leave possible; of ids with several sets, that those of any two do."""
 
     def keep(it) -> Iterator[pa.RecordBatch]:
         for a, b, size_a, hist_a, size_b, hist_b in batches(it, ["a", "b", "size_a", "hist_a", "size_b", "hist_b"]):
             ok = pa.array(_near(rule, size_a.to_numpy(), _hists(hist_a), size_b.to_numpy(), _hists(hist_b)))
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), size_b.filter(ok)], names=["a", "b", "size"])
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("hist").alias("hist_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("hist").alias("hist_b"))
-    return pairs.distinct().join(left, "a").join(right, "b").mapInArrow(keep, "a long, b long")
+    return pairs.distinct().join(left, "a").join(right, "b").mapInArrow(keep, "a long, b long, size long")
+
+
+#: N-grams that are verified against one text in one go: a document with more partners' n-grams is dealt out in shares.
+_SHARE = 200_000
 
 
 def verified(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose texts' sets do link. Only texts that a pair names are shuffled, but for a filter's few errors."""
-    pairs = written(pairs, "pairs")
-    held = rows.sparkSession.sparkContext.broadcast(key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    """The pairs whose texts' sets do link: a, b, and the least number of n-grams that b has beyond a.
 
-    def pick(it) -> Iterator[pa.RecordBatch]:
-        for ids, texts, at in batches(it, ["doc_id", "text", "at"]):
-            ok = pa.array(passes(held.value, at.to_numpy()))
-            yield pa.RecordBatch.from_arrays([ids.filter(ok), texts.filter(ok)], names=["doc_id", "text"])
+    Only texts that a pair names are shuffled, but for a filter's few errors. A pair brings the text of b to a share
+    of a, and the text of a goes to each of its shares once: a leader of thousands is dealt over many
+    partitions and its set is built once a share, not once a pair.
+    """
+    spark = rows.sparkSession
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("size").alias("size")), "pairs")
+    shares = pairs.groupBy("a").agg(F.ceil(F.sum("size") / _SHARE).cast("int").alias("shares"))
 
-    texts = written(rows.withColumn("at", place(F.col("doc_id")).cast("long")).mapInArrow(pick, "doc_id long, text string"), "texts")
+    with lent(spark, key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")) as held:
 
-    def check(it) -> Iterator[pa.RecordBatch]:
-        for a, b, text_a, text_b in batches(it, ["a", "b", "text_a", "text_b"]):
-            for lo in range(0, len(a), 1000):
-                first, second = ([s for block in blocks(t.slice(lo, 1000)) for s in rule.sets(block)] for t in (text_a, text_b))
-                ok = pa.array([rule.links(x, y) for x, y in zip(first, second)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([a.slice(lo, 1000).filter(ok), b.slice(lo, 1000).filter(ok)], names=["a", "b"])
+        def pick(it) -> Iterator[pa.RecordBatch]:
+            for ids, texts, at in batches(it, ["doc_id", "text", "at"]):
+                ok = pa.array(passes(held.value, at.to_numpy()))
+                yield pa.RecordBatch.from_arrays([ids.filter(ok), texts.filter(ok)], names=["doc_id", "text"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return written(pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long"), "links")
+        texts = written(rows.withColumn("at", place(F.col("doc_id")).cast("long")).mapInArrow(pick, "doc_id long, text string"), "texts")
+
+    def check(it) -> Iterator[pa.RecordBatch]:
+        key, first = None, []
+        for b in it:
+            a, share, other = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("a", "share", "b"))
+            text, out, at = b.column(b.schema.get_field_index("text")), [], 0
+            for block in blocks(text):
+                for s in rule.sets(block):
+                    if key != (a[at], share[at]):
+                        key, first = (a[at], share[at]), []
+                    if other[at] is None:
+                        first.append(s)  # rows of one id are one document: any of its texts may link
+                    else:
+                        beyond = [len(s) - len(np.intersect1d(x, s, assume_unique=True)) for x in first if rule.links(x, s)]
+                        if beyond:
+                            out.append((a[at], other[at], min(beyond)))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "beyond"])
+        give_back()
+
+    share = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    other = share.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "share", "b", "text")
+    own = shares.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
+    met = own.unionByName(other).repartition(partitions(spark), "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    links = written(met.mapInArrow(check, "a long, b long, beyond long").groupBy("a", "b").agg(F.min("beyond").alias("beyond")), "links")
+    remove(spark, texts.plotwise_path)
+    remove(spark, pairs.plotwise_path)
+    return links
 
 
 def leader_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Every set of a long list with the smallest document of its band of sizes, and of the band below."""
+    """Every set of a long list (b) with the smallest document (a) of its band of sizes, and of the band below."""
     banded = entries.withColumn("band", rule.band(F.col("size")))
     lead = written(banded.groupBy("gram", "band").agg(F.min("doc").alias("lead")), "leaders")
     own = banded.select("gram", "doc", F.explode(F.array("band", F.col("band") - 1)).alias("band")).join(lead, ["gram", "band"])
-    return own.where("doc <> lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"))
+    return own.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
 
 
-def apart_pairs(entries: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of a long list that are not in one component yet and that sizes, places and histograms leave possible.
+def followers(entries: DataFrame, links: DataFrame, labels: DataFrame, several: DataFrame) -> DataFrame:
+    """Entries of long lists whose sets are not all in one component, each with a leader it follows and the n-grams it has beyond it.
 
-    A list is cut by bands of sizes and tiles of bounded size; each pair of tiles is a group, so no task
-    holds a list. A list in one component gives nothing.
+    Columns gram, doc, size, component, lead, beyond. A set that follows no leader, a leader, and an id of `several`
+    sets lead themselves.
     """
-    tagged = entries.join(labels, entries["doc"] == labels["node"], "left").select("gram", "doc", "place", "size", F.coalesce("component", "doc").alias("component"))
-    tagged = written(tagged.withColumn("band", rule.band(F.col("size"))), "tagged")
-    mixed = tagged.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
-    shares = mixed.select("gram", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    open_ = tagged.join(shares, "gram").join(sets.select(F.col("doc_id").alias("doc"), "hist"), "doc")
-    tile = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
-    rows = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("group", F.explode(F.array("band", F.col("band") - 1)))
-    keyed = rows.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    leads = links.select(F.col("a").alias("lead")).distinct()
+    free = leads.select(F.col("lead").alias("b")).unionByName(several.select(F.col("doc_id").alias("b")))
+    follows = links.join(free, "b", "left_anti").groupBy(F.col("b").alias("doc")).agg(F.min_by("a", F.struct("beyond", "a")).alias("lead"), F.min("beyond").alias("beyond"))
+    tagged = entries.join(labels, entries["doc"] == labels["node"], "left").join(follows, "doc", "left")
+    tagged = written(tagged.select("gram", "doc", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("lead", "doc").alias("lead"), F.coalesce("beyond", F.lit(0)).alias("beyond")), "tagged")
+    mixed = tagged.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
+    return tagged.join(mixed, "gram")
+
+
+def open_pairs(entries: DataFrame, links: DataFrame, labels: DataFrame, several: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of sets of a long list that the answers of their leaders leave open.
+
+    Leaders of a list are compared by histogram, which bounds what they share from above; what a follower has
+    beyond its leader is added. A list's leaders are cut by bands of sizes and tiles of bounded size; each pair
+    of tiles is a group, so no task holds a list. Followers are only joined where their leaders leave them open.
+    """
+    rows = written(followers(entries, links, labels, several), "followers")
+    groups = rows.groupBy("gram", "lead").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("beyond").alias("most"), F.min("component").alias("component"), F.count("*").alias("n"))
+    groups = written(groups, "groups")
+    shares = groups.groupBy("gram").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    known = sets.select(F.col("doc_id").alias("lead"), F.col("size").alias("lead_size"), "hist")
+    tile = F.pmod(F.xxhash64("lead"), F.col("tiles")).cast("int")
+    held = groups.join(shares, "gram").join(known, "lead").withColumn("tile", tile)
+    # a group stands in every band that its sizes reach, and in the one below: sets that link are in one band or neighbours
+    held = held.withColumn("band", F.explode(F.sequence(rule.band(F.col("low")) - 1, rule.band(F.col("high")))))
+    keyed = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
 
     def compare(key, table):
-        group, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        doc, size, at, comp, band, tile_ = (table.column(c).to_numpy() for c in ("doc", "size", "place", "component", "band", "tile"))
+        i, j = key[2].as_py(), key[3].as_py()
+        lead, low, high, most, comp, size, tile_ = (table.column(c).to_numpy() for c in ("lead", "low", "high", "most", "component", "lead_size", "tile"))
         hist = _hists(table.column("hist"))
-        first, found = np.flatnonzero((tile_ == i)), []
-        second = np.flatnonzero(tile_ == j)
+        first, second, found = np.flatnonzero(tile_ == i), np.flatnonzero(tile_ == j), [np.zeros((0, 3), np.int64)]
         for x in first.tolist():
             y = second[second > x] if i == j else second
-            y = y[(comp[y] != comp[x]) & ((band[y] == group) | (band[x] == group))]
-            y = y[rule.may(size[x], at[x], size[y], at[y])]
-            y = y[_near(rule, size[x], hist[x][None, :], size[y], hist[y])] if len(y) else y
-            found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
-        pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return keyed.groupBy("gram", "group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            y = y[(comp[y] != comp[x]) & (rule.percent * low[y] <= 100 * high[x]) & (rule.percent * low[x] <= 100 * high[y])]
+            shared = (size[x] + size[y] - _gap(hist[x][None, :], hist[y])) // 2 if len(y) else y
+            possible = shared + most[x] + most[y] >= rule.overlap(low[x], low[y]) if len(y) else y.astype(bool)
+            y, shared = y[possible], shared[possible]
+            found.append(np.stack([np.full(len(y), lead[x]), lead[y], shared], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"p": pairs[:, 0], "q": pairs[:, 1], "shared": pairs[:, 2]})
+
+    apart = keyed.groupBy("gram", "band", "i", "j").applyInArrow(compare, "p long, q long, shared long")
+    apart = written(apart.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.max("shared").alias("shared")), "open")
+    members = written(rows.select("lead", "doc", "size", "beyond").distinct(), "members")
+    left, right = (members.toDF(lead, doc, f"size_{doc}", f"beyond_{doc}") for lead, doc in (("p", "x"), ("q", "y")))
+    both = apart.join(left, "p").join(right, "q")
+    # the same condition as Rule.overlap: 100 * shared >= percent * union, with the most that they can share
+    possible = F.expr(f"(100 + {rule.percent}) * (shared + beyond_x + beyond_y) >= {rule.percent} * (size_x + size_y)") & F.expr(f"100 * least(size_x, size_y) >= {rule.percent} * greatest(size_x, size_y)")
+    return both.where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,18 +443,26 @@ def near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = described.where("doc_id is not null and size > 0")
     keys = ["size", "d1", "d2"]
     classes = written(sets.groupBy(*keys).agg(F.min("doc_id").alias("class_id")), "classes")
-    leaders = written(sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "leaders")
+    leaders = written(sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", *keys]), "leaders")
 
     n_buckets = 4 * partitions(spark)
-    common = spark.sparkContext.broadcast(common_grams(rows, rule, n_buckets))
-    found = written(candidates(index(rows, rule, common, n_buckets), rule), "candidates")
+    with lent(spark, common_grams(rows, rule, n_buckets)) as common:
+        found = written(candidates(index(rows, rule, common, n_buckets), rule), "candidates")
     long = found.where("b is null").groupBy("gram", "d1").agg(F.min("a").alias("doc"), F.min("place").alias("place"), F.min("size").alias("size"))
     long = written(long, "long")
     short = found.where("b is not null").select("a", "b")
-    links = verified(rows, by_histogram(short.unionByName(leader_pairs(long, rule)), leaders, rule), rule)
-    stars = components(links)
-    rest = verified(rows, apart_pairs(long, stars, leaders, rule), rule)
-    joined = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    led = leader_pairs(long, rule)
+    links = verified(rows, by_histogram(short.unionByName(led), leaders, rule), rule)
+    # an id with several sets ties their classes together
+    classed = sets.join(classes, keys).select("doc_id", "class_id")
+    several = written(classed.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z"), "several")
+    tied = classed.join(several, "doc_id").select("a", F.col("class_id").alias("b"))
+    stars = components(links.select("a", "b").unionByName(tied))
+    known = links.join(led.distinct(), ["a", "b"], "left_semi")
+    rest = verified(rows, by_histogram(open_pairs(long, known, stars, several, leaders, rule), leaders, rule), rule)
+    joined = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b")))
+    for table in (leaders, found, long, links, several, rest):
+        remove(spark, table.plotwise_path)
 
     # links are between classes' smallest documents; other copies follow their class
     classed = described.join(classes, keys, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality
+from .cluster import small_batches
 from .decontamination import overlaps
 from .frames import read_frames, write_frames
 from .html_text import extract_main_text
@@ -23,6 +24,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

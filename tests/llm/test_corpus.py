@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plotwise.llm import decontamination, frames, html_text, near_copies, packing, quality, substrings, telephony, textkit, token_counts, tokens, toxicity
+from plotwise.llm.cluster import written
 from plotwise.llm.components import components
 from plotwise.llm.queries import vocabulary
 
@@ -235,6 +236,49 @@ def test_near_copies_odd_rows(odd):
     assert near_copies.near_copies(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_copies_of_repeated_ids(spark, turned):
+    words = [f"w{i}" for i in range(60)]
+    near, other, base = " ".join([*words, "x"]), " ".join(f"o{i}" for i in range(50)), " ".join(words)
+    rows = [(1, near), (1, other), (2, base), (3, other + " end"), (4, "own words only here now"), (4, "own words only here now")]
+    df = spark.createDataFrame([rows[1], rows[0], *rows[2:]] if turned else rows, "doc_id long, text string")
+    got = near_copies.near_copies(df.withColumn("component_id", F.lit("clash"))).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize("n,percent", [(1, 85), (1, 60)])
+def test_lists_skip_blocks_and_lose_no_pair(n, percent):
+    rule, rng = near_copies.Rule(n, percent), np.random.default_rng(1)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(5000, int(rng.integers(10, 60)), replace=False)
+        sets += [np.unique(np.concatenate([base[: len(base) - int(rng.integers(0, 6))], rng.choice(5000, int(rng.integers(0, 9)))])) for _ in range(7)]
+    rows = [(g, len(s), p, d) for d, s in enumerate(sets) for p, g in enumerate(s[: rule.front(len(s))].tolist())]
+    gram, size, at, doc = np.array(sorted(rows)).T
+    x, y, seen = near_copies.list_pairs(gram, size, at, rule)
+    found = {tuple(sorted(p)) for p in zip(doc[x].tolist(), doc[y].tolist())}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if rule.links(sets[a], sets[b])}
+    assert want and want <= found and (gram[x] == gram[y]).all()
+    every = sum(k * (k - 1) // 2 for k in np.unique(gram, return_counts=True)[1])
+    assert seen["skipped"] > 0 and seen["left"] > 0 and len(x) < every
+
+
+def test_answers_of_followers_come_from_their_leaders(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = list(rng.choice(words, 80, replace=False))
+    copies = [" ".join([*base[:78], f"a{i}", f"b{i}"]) for i in range(80)]
+    apart = [" ".join([*base[:60], *rng.choice(words, k)]) for k in (6, 12, 18, 24, 30)]
+    texts = dict(enumerate([*copies, *apart]))
+    made = []
+    before = near_copies.open_pairs
+    monkeypatch.setattr(near_copies, "open_pairs", lambda *a: made.append(written(before(*a), "t")) or made[-1])
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in _with_light(near_copies.near_copies, 3)(df, 2, 70).collect()}
+    assert got == brute_components(brute_sets(texts, 2), 70)
+    assert 0 < made[0].count() < 320  # of 400 pairs: not every copy meets every other text
+
+
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)] + [(50, 51), (None, 3)]])
 def test_components(spark, links):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
