@@ -8,8 +8,8 @@ documents, not for words: a sentence or document is a bag of words, positive if
 (mi-SVM): rounds of fitting alternate with picking the words that make the positive bags positive.
 
 Because the triples are an explicit map, the fitted machine folds into one weight per triple, so scoring a
-word is a few dozen look-ups. A document's score is a logistic of its highest word and of how many of its
-words are on the insults' side.
+word is a few dozen look-ups. A document's score is a logistic of the margins of its two highest words and of
+how many of its words are on the insults' side, and how far.
 """
 
 from __future__ import annotations
@@ -77,11 +77,11 @@ def weighed(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """One weight per triple, the SVM's offset, and the logistic over (1, highest word, log of 1 + words above 0)."""
+    """One weight per triple, the SVM's offset, and the logistic over (1, highest word, second, log of 1 + words above 0)."""
 
     weight: np.ndarray
     offset: float
-    logistic: tuple[float, float, float] = (0.0, 4.0, 0.0)
+    logistic: tuple[float, float, float, float] = (0.0, 4.0, 0.0, 0.0)
 
     def words(self, texts: list[str]) -> np.ndarray:
         """The machine's value for each word: positive for insults."""
@@ -97,7 +97,7 @@ class Model:
         return out
 
     def scores(self, seen: np.ndarray) -> np.ndarray:
-        """Scores from rows of (highest word, number of words above 0)."""
+        """Scores from rows of summed()."""
         return 1 / (1 + np.exp(-np.clip(_design(seen) @ np.array(self.logistic), -30, 30)))
 
 
@@ -105,8 +105,34 @@ class Model:
 NOTHING = -3.0
 
 
+#: A word counts in full from this margin on.
+FULL = 0.5
+
+
+def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each document the margins of its highest and second-highest word, and its words above 0, each up to FULL by its share of it.
+
+    `values` are the words' margins, document by document, and `first` where each document starts (one entry more).
+    A document without a word, or without a second one, has NOTHING there.
+    """
+    out = np.full((len(first) - 1, 3), NOTHING)
+    out[:, 2] = 0
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    if len(some):
+        doc = np.repeat(np.arange(len(size)), size)
+        out[some, 0] = np.maximum.reduceat(values, first[some])
+        at = np.flatnonzero(values == out[doc, 0])
+        rest = np.array(values, np.float64)
+        rest[at[np.unique(doc[at], return_index=True)[1]]] = NOTHING
+        out[some, 1] = np.maximum.reduceat(rest, first[some])
+        out[some, 2] = np.add.reduceat(np.clip(values / FULL, 0, 1), first[some])
+    return out
+
+
 def _design(seen: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(seen)), seen[:, 0], np.log1p(seen[:, 1])], 1)
+    margins = np.clip(seen[:, :2], NOTHING, -NOTHING)
+    return np.concatenate([np.ones((len(seen), 1)), margins, np.log1p(seen[:, 2:])], 1)
 
 
 def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ridge: float = 1e-5, weights: np.ndarray | None = None) -> Model:
@@ -160,7 +186,7 @@ def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ri
     return Model(weight, float(beta[-1]))
 
 
-def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_landmarks: int = 384, rounds: int = 3, least: float = 5.0, clean_weight: float = 1.0, seed: int = 7) -> Model:
+def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_landmarks: int = 384, rounds: int = 3, least: float = 3.5, clean_weight: float = 1.0, seed: int = 7) -> Model:
     """Learns from bags of words with labels; bags marked in `calibrate` only set the logistic."""
     rng, floor = np.random.default_rng(seed), -np.inf
     vocabulary: dict[str, int] = {}
@@ -176,18 +202,27 @@ def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_land
     surplus = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
     clean = np.flatnonzero(counts[0] > 0)
     if not len(clean) or not (surplus > 0).any():
-        return Model(np.zeros(_CLASSES**3 + 1, np.float32), -1.0, (-2.0, 0.0, 0.0))
+        return Model(np.zeros(_CLASSES**3 + 1, np.float32), -1.0, (-2.0, 0.0, 0.0, 0.0))
     common = clean[np.argsort(-counts[0][clean], kind="stable")[:2000]]
     negative = np.unique(np.concatenate([common, rng.choice(clean, min(6000, len(clean)), replace=False)]))
+    # the first guess: what clean bags never hold, by how often toxic ones do; what insults share stands out of it
+    fresh = np.flatnonzero((counts[1] > 0) & (counts[0] == 0) & (surplus > 0))
+    fresh = fresh[np.argsort(-surplus[fresh], kind="stable")][:2500]
     model, value = None, np.zeros(len(names))
+    if len(fresh):
+        other = np.setdiff1d(negative, fresh)
+        marks = np.concatenate([fresh[: n_landmarks // 2], rng.choice(other, min(n_landmarks // 2, len(other)), replace=False)])
+        value = fit_words([names[i] for i in fresh], [names[i] for i in other], [names[i] for i in marks], weights=surplus[fresh] ** 2).words(names)
     for _ in range(rounds):
         # each positive bag names the word that explains it best; a word counts by the bags it explains
         votes = np.zeros(len(names))
         for row, label, own in zip(rows, labels, learn):
             if own and label and len(row):
                 merit = surplus[row] + 4 * value[row]
-                best = np.unique(row[np.argsort(-merit, kind="stable")[:3]])
-                votes[best[(surplus[best] > least) & (value[best] > floor)]] += 1
+                top = np.argsort(-merit, kind="stable")[:3]  # of all places: a word said again leaves less room for chance finds
+                best, at = np.unique(row[top], return_index=True)
+                near = merit[top[at]] >= 0.25 * merit[top[0]]
+                votes[best[near & (surplus[best] > least) & (value[best] > floor)]] += 1
         chosen = np.flatnonzero(votes)
         if not len(chosen):
             chosen = np.argsort(-surplus, kind="stable")[:5]
@@ -200,28 +235,39 @@ def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_land
         hard = clean[np.argsort(-value[clean], kind="stable")[:1500]]
         negative = np.unique(np.concatenate([negative, hard]))
         least, floor = 0.7 * least, 0.0
-    seen = np.array([[value[row].max(), (value[row] > 0).sum()] if len(row) else [NOTHING, 0] for row in rows])
+    seen = summed(value[np.concatenate([*rows, np.zeros(0, np.int64)])].astype(np.float64), np.cumsum([0, *map(len, rows)]))
     model.logistic = _logistic(_design(seen), labels, np.where(calibrate, 4.0, 1.0) * np.where(labels > 0, 1.0, clean_weight))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Weighted logistic regression by damped Newton steps; the last two weights are not below 0 (more insults, higher score)."""
+#: The least weights of the logistic: either margin always counts, and more insults never lower a score.
+_LEAST = np.array([-np.inf, 0.2, 0.1, 0.0])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float, float]:
+    """Weighted logistic regression by Newton steps that never raise the loss, weights not below _LEAST."""
     if len(set(y.tolist())) < 2:
-        return (0.0, 4.0, 0.0)
-    b, free, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1], bool), np.diag([1e-4, 2e-2, 2e-2])
+        return (0.0, 4.0, 0.0, 0.0)
+    ridge = np.array([1e-4, 0.1, 0.1, 0.1])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.sum(weight * (np.logaddexp(0, z) - y * z)) + ridge @ (b * b) / 2)
+
+    b = np.maximum(np.zeros(x.shape[1]), _LEAST)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - ridge @ b
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
+        grad = x.T @ (weight * (p - y)) + ridge * b
+        free = (b > _LEAST) | (grad < 0)
+        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
         step = np.zeros(len(b))
         step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
-        b = b + np.clip(step, -2, 2)
-        if (b[1:] < 0).any():
-            free[1:] &= b[1:] >= 0
-            b[1:] = np.maximum(b[1:], 0)
-        elif np.abs(step).max() < 1e-7:
+        now, size = loss(b), 1.0
+        while size > 1e-6 and loss(np.maximum(b - size * step, _LEAST)) > now - 1e-4 * size * (grad @ step):
+            size /= 2
+        if size <= 1e-6 or size * np.abs(step).max() < 1e-7:
             break
+        b = np.maximum(b - size * step, _LEAST)
     return tuple(b.tolist())
 
 
@@ -283,7 +329,7 @@ class Scorer:
         self.model, self.keep, self.known = model, keep, {}
 
     def look(self, block: Block) -> np.ndarray:
-        """For each document of a block the value of its highest word and the number of words above 0."""
+        """summed() of each document of a block."""
         names, number, first = bag_words(block)
         known = self.known
         value = list(map(known.get, names))
@@ -299,14 +345,7 @@ class Scorer:
             if len(known) + len(fresh) > self.keep:
                 self.known = known = {}
             known.update(fresh)
-        out = np.zeros((len(block.rows), 2))
-        out[:, 0] = NOTHING
-        values = np.array(value, np.float64)[number] if len(number) else np.zeros(0)
-        some = np.flatnonzero(np.diff(first))
-        if len(some):
-            out[some, 0] = np.maximum.reduceat(values, first[some])
-            out[some, 1] = np.add.reduceat((values > 0).astype(np.int64), first[some])
-        return out
+        return summed(np.array(value, np.float64)[number] if len(number) else np.zeros(0), first)
 
 
 _BAG = "doc_id long, toxic int, words array<string>"
