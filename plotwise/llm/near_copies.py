@@ -11,8 +11,8 @@ Among answers. Sets that are equal share one answer: only the smallest document
 long lists, which near copies make, each set is first compared with one leader for each band of sizes. Then the
 answers of a leader's followers are derived from the leader's own: if a leader shares c n-grams with another
 set, a follower that has e n-grams beyond the leader shares at most c + e. So leaders (and sets that follow
-none) are compared once, and only followers that this leaves open are compared themselves. What is in one class
-already needs no answer at all.
+none) are compared first, and only the followers of those that this leaves open are compared themselves, in
+blocks of bounded size. What is in one class already needs no answer at all.
 
 What is left is verified on the texts themselves; classes are components of verified links.
 """
@@ -367,62 +367,85 @@ def leader_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     return own.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
 
 
-def followers(entries: DataFrame, links: DataFrame, labels: DataFrame, several: DataFrame) -> DataFrame:
+def followers(entries: DataFrame, links: DataFrame, labels: DataFrame, several: DataFrame, rule: Rule) -> DataFrame:
     """Entries of long lists whose sets are not all in one component, each with a leader it follows and the n-grams it has beyond it.
 
-    Columns gram, doc, size, component, lead, beyond. A set that follows no leader, a leader, and an id of `several`
-    sets lead themselves.
+    Columns gram, doc, place, size, component, lead, beyond, band. A set that follows no leader, a leader, and an id of
+    `several` sets lead themselves.
     """
     leads = links.select(F.col("a").alias("lead")).distinct()
     free = leads.select(F.col("lead").alias("b")).unionByName(several.select(F.col("doc_id").alias("b")))
     follows = links.join(free, "b", "left_anti").groupBy(F.col("b").alias("doc")).agg(F.min_by("a", F.struct("beyond", "a")).alias("lead"), F.min("beyond").alias("beyond"))
     tagged = entries.join(labels, entries["doc"] == labels["node"], "left").join(follows, "doc", "left")
-    tagged = written(tagged.select("gram", "doc", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("lead", "doc").alias("lead"), F.coalesce("beyond", F.lit(0)).alias("beyond")), "tagged")
+    tagged = tagged.select("gram", "doc", "place", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("lead", "doc").alias("lead"), F.coalesce("beyond", F.lit(0)).alias("beyond"))
+    tagged = written(tagged.withColumn("band", rule.band(F.col("size"))), "tagged")
     mixed = tagged.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
     return tagged.join(mixed, "gram")
 
 
-def open_pairs(entries: DataFrame, links: DataFrame, labels: DataFrame, several: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of sets of a long list that the answers of their leaders leave open.
+def _tiles(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a list dealt over tiles of about TILE rows by `key`; each pair of tiles (i, j) of a band is a group, so no task holds a list."""
+    shares = rows.groupBy("gram").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    held = rows.join(shares, "gram").withColumn("tile", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return held.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+
+
+def open_leaders(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(gram, lead) of the groups that some other group of the list, in another component, may link with.
 
-    Leaders of a list are compared by histogram, which bounds what they share from above; what a follower has
-    beyond its leader is added. A list's leaders are cut by bands of sizes and tiles of bounded size; each pair
-    of tiles is a group, so no task holds a list. Followers are only joined where their leaders leave them open.
+    Two leaders share at most what their histograms leave; a follower shares at most that and what it, and the other,
+    have beyond their leaders. Where even the farthest followers stay below the threshold, the leader's
+    answer settles all of them.
     """
-    rows = written(followers(entries, links, labels, several), "followers")
-    groups = rows.groupBy("gram", "lead").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("beyond").alias("most"), F.min("component").alias("component"), F.count("*").alias("n"))
+    groups = rows.groupBy("gram", "lead").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("beyond").alias("most"), F.min("component").alias("component"))
     groups = written(groups, "groups")
-    shares = groups.groupBy("gram").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    known = sets.select(F.col("doc_id").alias("lead"), F.col("size").alias("lead_size"), "hist")
-    tile = F.pmod(F.xxhash64("lead"), F.col("tiles")).cast("int")
-    held = groups.join(shares, "gram").join(known, "lead").withColumn("tile", tile)
     # a group stands in every band that its sizes reach, and in the one below: sets that link are in one band or neighbours
-    held = held.withColumn("band", F.explode(F.sequence(rule.band(F.col("low")) - 1, rule.band(F.col("high")))))
-    keyed = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    wide = _tiles(groups, "lead").withColumn("group", F.explode(F.sequence(rule.band(F.col("low")) - 1, rule.band(F.col("high")))))
+    keyed = wide.join(sets.select(F.col("doc_id").alias("lead"), F.col("size").alias("lead_size"), "hist"), "lead")
 
     def compare(key, table):
         i, j = key[2].as_py(), key[3].as_py()
-        lead, low, high, most, comp, size, tile_ = (table.column(c).to_numpy() for c in ("lead", "low", "high", "most", "component", "lead_size", "tile"))
+        lead, low, high, most, comp, size, tile = (table.column(c).to_numpy() for c in ("lead", "low", "high", "most", "component", "lead_size", "tile"))
         hist = _hists(table.column("hist"))
-        first, second, found = np.flatnonzero(tile_ == i), np.flatnonzero(tile_ == j), [np.zeros((0, 3), np.int64)]
+        first, second, found = np.flatnonzero(tile == i), np.flatnonzero(tile == j), np.zeros(len(lead), bool)
         for x in first.tolist():
             y = second[second > x] if i == j else second
             y = y[(comp[y] != comp[x]) & (rule.percent * low[y] <= 100 * high[x]) & (rule.percent * low[x] <= 100 * high[y])]
-            shared = (size[x] + size[y] - _gap(hist[x][None, :], hist[y])) // 2 if len(y) else y
-            possible = shared + most[x] + most[y] >= rule.overlap(low[x], low[y]) if len(y) else y.astype(bool)
-            y, shared = y[possible], shared[possible]
-            found.append(np.stack([np.full(len(y), lead[x]), lead[y], shared], 1))
-        pairs = np.concatenate(found)
-        return pa.table({"p": pairs[:, 0], "q": pairs[:, 1], "shared": pairs[:, 2]})
-
-    apart = keyed.groupBy("gram", "band", "i", "j").applyInArrow(compare, "p long, q long, shared long")
-    apart = written(apart.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.max("shared").alias("shared")), "open")
-    members = written(rows.select("lead", "doc", "size", "beyond").distinct(), "members")
-    left, right = (members.toDF(lead, doc, f"size_{doc}", f"beyond_{doc}") for lead, doc in (("p", "x"), ("q", "y")))
-    both = apart.join(left, "p").join(right, "q")
-    # the same condition as Rule.overlap: 100 * shared >= percent * union, with the most that they can share
-    possible = F.expr(f"(100 + {rule.percent}) * (shared + beyond_x + beyond_y) >= {rule.percent} * (size_x + size_y)") & F.expr(f"100 * least(size_x, size_y) >= {rule.percent} * greatest(size_x, size_y)")
-    return both.where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            if len(y):
+                shared = (size[x] + size[y] - _gap(hist[x][None, :], hist[y])) // 2
+                y = y[shared + most[x] + most[y] >= rule.overlap(low[x], low[y])]
+                found[y] = True
+                found[x] |= len(y) > 0
+        own = np.unique(lead[found])
+        return pa.table({"lead": own, "gram": np.full(len(own), key[0].as_py())})
+
+    return keyed.groupBy("gram", "group", "i", "j").applyInArrow(compare, "lead long, gram long").distinct()
+
+
+def open_pairs(entries: DataFrame, links: DataFrame, labels: DataFrame, several: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of sets of a long list, not in one component, that the answers of their leaders and their own histograms leave open."""
+    rows = written(followers(entries, links, labels, several, rule), "followers")
+    still = written(open_leaders(rows, sets, rule), "open")
+    close = written(rows.join(still, ["gram", "lead"], "left_semi"), "close")
+    wide = _tiles(close, "doc").withColumn("group", F.explode(F.array("band", F.col("band") - 1)))
+    keyed = wide.join(sets.select(F.col("doc_id").alias("doc"), "hist"), "doc")
+
+    def compare(key, table):
+        group, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        doc, size, at, comp, band, tile = (table.column(c).to_numpy() for c in ("doc", "size", "place", "component", "band", "tile"))
+        hist = _hists(table.column("hist"))
+        first, second, found = np.flatnonzero(tile == i), np.flatnonzero(tile == j), [np.zeros((0, 2), np.int64)]
+        for x in first.tolist():
+            y = second[second > x] if i == j else second
+            y = y[(comp[y] != comp[x]) & ((band[y] == group) | (band[x] == group))]
+            y = y[(at[y] <= rule.reach(size[y], size[x])) & (at[x] <= rule.reach(size[x], size[y]))]
+            y = y[_near(rule, size[x], hist[x][None, :], size[y], hist[y])] if len(y) else y
+            found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return keyed.groupBy("gram", "group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
