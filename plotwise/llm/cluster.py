@@ -102,15 +102,18 @@ def place(column) -> "F.Column":
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+def key_filter(keys: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
     """A filter of fixed size (1 MB) over the keys of a table: a key in the table always passes, others seldom.
 
+    With `hashed` the keys are hashes already and stand at their remainder, else at place().
+
     Built by bit_or per 64-bit word on the executors; the driver gets at most 131,072 rows however many keys there are.
     When it fills up, more rows pass than need to and the join that follows drops them.
     """
-    at = place(F.col(column))
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS)) if hashed else place(F.col(column))
+    bit = f"`{column}`" if hashed else f"xxhash64(`{column}`)"
     rows = (
-        keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{column}`), {FILTER_BITS}L), 64) as int))").alias("b"))
+        keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({bit}, {FILTER_BITS}L), 64) as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toPandas()
