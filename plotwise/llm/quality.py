@@ -1,9 +1,9 @@
 """Quality by co-training: a text view and a metadata view teach each other, then vote with calibrated odds.
 
 Each view alone should tell good documents from bad ones. Both start from the labelled sample; in every
-round each view labels the documents of an unlabelled pool that it is surest of, and the *other* view
-learns from them. At the end each view's odds are calibrated on labelled documents that took no part, and
-a logistic over the two decides.
+round each view labels the documents that it is surest of, out of all documents of the table, and the *other*
+view learns from them: a growing share every round, by one Newton step whose sums Spark adds up. At the end
+each view's odds are calibrated on labelled documents that took no part, and a logistic over the two decides.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Block, batches, blocks, mix, run_hashes, words, WHITE_TABLE
+from .cluster import remove, written
+from .textkit import WHITE_TABLE, U64, Block, batches, blocks, mix, run_hashes, words
 
 HASHED = 256
 _KINDS = 8
@@ -117,31 +118,148 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds(both, self.vote), -30, 30)))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, calibrate: np.ndarray, rounds: int = 5, sure: float = 0.1) -> Model:
-    """Learns from rows with label 0 or 1, and -1 for the unlabelled pool; `sure` is the share of the pool each view labels a round."""
+#: Odds are counted in bins of 1/40 from -25 to 25, so that the surest share of any number of documents is found by counts.
+_BINS, _PER_ODD = 2000, 40
+#: All pseudo-labelled documents together weigh so much of the labelled ones, however many there are.
+PSEUDO = 0.5
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.clip((z + _BINS / _PER_ODD / 2) * _PER_ODD, 0, _BINS - 1).astype(np.int64)
+
+
+def odds_counts(views: tuple, fitted: list) -> np.ndarray:
+    """How many documents have odds in each bin, view by view."""
+    return np.stack([np.bincount(_bin(odds(x, b)), minlength=_BINS) for x, b in zip(views, fitted)])
+
+
+def taught_sums(views: tuple, fitted: list, cuts: list) -> list[tuple[int, np.ndarray]]:
+    """For each view: how many documents the other one is sure of, and the Newton sums over them, the gradient as last column.
+
+    `cuts` are the bins up to and from which a view is sure; odds within 1 of even are never sure.
+    """
+    z, out = [odds(x, b) for x, b in zip(views, fitted)], []
+    for v in range(2):
+        said, (low, high) = z[1 - v], cuts[1 - v]
+        good = (_bin(said) >= high) & (said > 1)
+        own = np.flatnonzero(good | (_bin(said) <= low) & (said < -1))
+        out.append((len(own), _newton(views[v][own], good[own].astype(np.float64), np.ones(len(own)), fitted[v])))
+    return out
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Negative Hessian of the log likelihood at b, and its gradient as one more column."""
+    z = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+    return np.concatenate([(z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z, (z.T @ (weight * (y - p)))[:, None]], 1)
+
+
+class ArrayPool:
+    """Unlabelled documents at hand as two arrays."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray) -> None:
+        self.views = (text, meta)
+
+    def counts(self, fitted: list) -> np.ndarray:
+        return odds_counts(self.views, fitted)
+
+    def sums(self, fitted: list, cuts: list) -> list[tuple[int, np.ndarray]]:
+        return taught_sums(self.views, fitted, cuts)
+
+
+class TablePool:
+    """All documents of a table of views, but for the labelled sample: every task adds up its own rows, Spark the tasks' sums."""
+
+    def __init__(self, views: DataFrame, sample: np.ndarray) -> None:
+        self.views, self.sample = views, np.sort(sample)
+
+    def _arrays(self, it) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, text, meta in batches(it, ["doc_id", "text_view", "meta_view"]):
+            known = np.isin(np.array(ids.to_pylist(), np.float64), self.sample.astype(np.float64))
+            pair = _unpacked(text, TEXT_SIZE), _unpacked(meta, META_SIZE)
+            yield pair[0][~known], pair[1][~known]
+
+    def counts(self, fitted: list) -> np.ndarray:
+        arrays = self._arrays
+
+        def count(it) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, _BINS), np.int64)
+            for pair in arrays(it):
+                total += odds_counts(pair, fitted)
+            view, place = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(view * _BINS + place), pa.array(total[view, place])], names=["at", "n"])
+
+        rows = _without_frame(self, count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 4,000 rows at most
+        out = np.zeros(2 * _BINS, np.int64)
+        out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+        return out.reshape(2, _BINS)
+
+    def sums(self, fitted: list, cuts: list) -> list[tuple[int, np.ndarray]]:
+        arrays = self._arrays
+
+        def add(it) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            total = [[0, 0.0], [0, 0.0]]
+            for pair in arrays(it):
+                for t, (n, m) in zip(total, taught_sums(pair, fitted, cuts)):
+                    t[0], t[1] = t[0] + n, t[1] + m
+            rows = [{"part": TaskContext.get().partitionId(), "v": v, "i": i, "n": n, "sums": line.tobytes()} for v, (n, m) in enumerate(total) if n for i, line in enumerate(m)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("v", pa.int32()), ("i", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())]))
+
+        def total(key, table):
+            table = table.sort_by("part")  # the same order of addition every time
+            lines = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64).reshape(table.num_rows, -1)
+            return pa.table({"v": [key[0].as_py()], "i": [key[1].as_py()], "n": [sum(table.column("n").to_pylist())], "sums": [lines.sum(0).tobytes()]}, schema=pa.schema([("v", pa.int32()), ("i", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())]))
+
+        # one line of the sums a group, a few kilobytes a task each; the driver gets the lines of two matrices
+        rows = _without_frame(self, add, "part int, v int, i int, n long, sums binary").groupBy("v", "i").applyInArrow(total, "v int, i int, n long, sums binary").collect()
+        out = []
+        for v in range(2):
+            own = sorted((r.i, r.n, bytes(r.sums)) for r in rows if r.v == v)
+            out.append((own[0][1], np.stack([np.frombuffer(x, np.float64) for _, _, x in own])) if own else (0, np.zeros((len(fitted[v]), len(fitted[v]) + 1))))
+        return out
+
+
+def _without_frame(pool: TablePool, f, schema: str) -> DataFrame:
+    """pool.views through f; the pool that goes to the tasks carries no table."""
+    views, pool.views = pool.views, None
+    try:
+        return views.mapInArrow(f, schema)
+    finally:
+        pool.views = views
+
+
+def _sure(counts: np.ndarray, wanted: float, share: float) -> tuple[int, int]:
+    """The bins up to and from which the surest `wanted` documents lie, bad and good ones by their share."""
+    upto, downto = np.cumsum(counts), np.cumsum(counts[::-1])
+    low = int(np.searchsorted(upto, max(1.0, wanted * (1 - share))))
+    high = int(np.searchsorted(downto, max(1.0, wanted * share)))
+    return min(low, _BINS - 1), _BINS - 1 - min(high, _BINS - 1)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, calibrate: np.ndarray, pool=None, rounds: int = 4, sure: float = 0.1) -> Model:
+    """Learns from rows with label 0 or 1 and a pool (rows with label -1 if none is given); each view labels `sure` more of the pool every round."""
     learn = (label >= 0) & ~calibrate
     share = label[learn].mean() if learn.any() else 0.5
-    taught = [dict.fromkeys(np.flatnonzero(learn).tolist(), 1.0) for _ in range(2)]
-    said = [np.where(label >= 0, label, 0).astype(np.float64) for _ in range(2)]
-    pool, views, fitted = np.flatnonzero(label < 0), (text, meta), [None, None]
     if not learn.any() or len(set(label[learn].tolist())) < 2:
         constant = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return Model(np.zeros(text.shape[1] + 1), np.zeros(meta.shape[1] + 1), np.array([0.0, 0.0, constant]))
-    for k in range(rounds + 1):
-        for v in range(2):
-            rows = np.fromiter(taught[v], np.int64)
-            fitted[v] = logistic(views[v][rows], said[v][rows], np.fromiter(taught[v].values(), np.float64))
-        if k == rounds or not len(pool):
+    views, y = (text[learn], meta[learn]), label[learn].astype(np.float64)
+    pool = pool or ArrayPool(text[label < 0], meta[label < 0])
+    fitted = [logistic(x, y, np.ones(len(y))) for x in views]
+    for k in range(1, rounds + 1):
+        counts = pool.counts(fitted)
+        cuts = [_sure(c, k * sure * c.sum(), share) for c in counts]
+        if not counts.sum():
             break
-        for v in range(2):
-            value = odds(views[v][pool], fitted[v])
-            n = max(1, int(sure * len(pool)))
-            order = np.argsort(value, kind="stable")
-            low, high = order[: max(1, round(n * (1 - share)))], order[len(order) - max(1, round(n * share)) :]
-            for rows, y in ((low, 0.0), (high, 1.0)):
-                rows = rows[(value[rows] > 1) if y else (value[rows] < -1)]  # only what it is sure of
-                for i in pool[rows].tolist():
-                    taught[1 - v][i], said[1 - v][i] = 0.3, y
+        sums = pool.sums(fitted, cuts)
+        for v, (n, taught) in enumerate(sums):
+            own = _newton(views[v], y, np.ones(len(y)), fitted[v])
+            both = own + (PSEUDO * len(y) / n) * taught if n else own
+            penalty = np.append(np.ones(len(fitted[v]) - 1), 1e-6)
+            step = np.linalg.solve(both[:, :-1] + np.diag(penalty), both[:, -1] - penalty * fitted[v])
+            fitted[v] = fitted[v] + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
     both = np.stack([odds(text, fitted[0]), odds(meta, fitted[1])], 1)
     own = np.flatnonzero(calibrate & (label >= 0))
     if len(set(label[own].tolist())) < 2:
@@ -150,7 +268,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, calibrate: n
     return Model(fitted[0], fitted[1], vote)
 
 
-_ROW = "doc_id long, label int, text_view binary, meta_view binary"
+_ROW = "doc_id long, text_view binary, meta_view binary"
 _INPUT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -168,31 +286,44 @@ def _views(texts, langs, sources, n_chars) -> Iterator[tuple[np.ndarray, np.ndar
         yield r, text_view(block), meta_view(sources[r[0] : r[-1] + 1], langs[r[0] : r[-1] + 1], sizes[r])
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = 3000, pool: int = 4000, label_col: str = "quality", **names: str) -> Model:
-    """Fits on the driver from at most `sample` labelled documents and `pool` others, each set first by a hash of the id.
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as binaries of 16-bit floats."""
+    width = 2 * x.shape[1]
+    return pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(x.astype(np.float16).tobytes())]).cast(pa.binary())
 
-    Labels are learnt only from rows whose crc32 of the id as text is not a multiple of 5; a quarter of the
-    sample is kept for calibration. The driver gets a fixed number of numbers for each sampled document.
+
+def _unpacked(column: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, size).astype(np.float32)
+
+
+def train(documents: DataFrame, labels: DataFrame, sample: int = 3000, label_col: str = "quality", **names: str) -> Model:
+    """Fits from at most `sample` labelled documents, first by a hash of the id, and all other documents as the pool.
+
+    Labels are learnt only from rows whose crc32 of the id as text is not a multiple of 5; an id whose label rows
+    disagree is not learnt from; a quarter of the sample is kept for calibration. The views of all documents are
+    written once (some 700 bytes a document) and read twice a round for sums; the driver gets those, and a
+    fixed number of numbers for each sampled document. Without labels of both kinds the score is constant.
     """
+    spark = documents.sparkSession
     id_col = names.get("doc_id", "doc_id")
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
-    base = _columns(documents, names)
-    known = labels.where(fold != 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    chosen = known.orderBy(F.xxhash64("doc_id")).limit(sample)
-    others = base.select("doc_id").where("doc_id is not null").join(labels.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", "left_anti")
-    wanted = chosen.unionByName(others.orderBy(F.xxhash64("doc_id")).limit(pool).withColumn("label", F.lit(-1)))
+    known = labels.where(fold != 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
+    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
 
     def view(it) -> Iterator[pa.RecordBatch]:
-        for ids, labels_, *rest in batches(it, ["doc_id", "label", "text", "lang", "source", "n_chars"]):
+        for ids, *rest in batches(it, _INPUT):
             for r, text, meta in _views(*rest):
-                yield pa.RecordBatch.from_arrays([ids.slice(r[0], len(r)), labels_.slice(r[0], len(r)), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["doc_id", "label", "text_view", "meta_view"])
-
-    table = base.join(F.broadcast(wanted), "doc_id").mapInArrow(view, _ROW).toArrow().sort_by("doc_id")
-    text = np.frombuffer(b"".join(table.column("text_view").to_pylist()), np.float32).reshape(-1, TEXT_SIZE)
-    meta = np.frombuffer(b"".join(table.column("meta_view").to_pylist()), np.float32).reshape(-1, META_SIZE)
-    label = table.column("label").to_numpy().astype(np.int64)
-    calibrate = (mix(table.column("doc_id").to_numpy().astype(np.int64).view(U64)) % U64(4) == 0) & (label >= 0)
-    return co_train(text, meta, label, calibrate)
+                yield pa.RecordBatch.from_arrays([ids.slice(r[0], len(r)), _packed(text), _packed(meta)], names=["doc_id", "text_view", "meta_view"])
+
+    views = written(_columns(documents, names).mapInArrow(view, _ROW), "views")
+    table = views.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text_view", "meta_view").toArrow().sort_by("doc_id")
+    text, meta = _unpacked(table.column("text_view"), TEXT_SIZE), _unpacked(table.column("meta_view"), META_SIZE)
+    label, ids = table.column("label").to_numpy().astype(np.int64), table.column("doc_id").to_numpy().astype(np.int64)
+    calibrate = mix(ids.view(U64)) % U64(4) == 0
+    model = co_train(text, meta, label, calibrate, TablePool(views, ids))
+    remove(spark, views.plotwise_path)
+    return model
 
 
 def score_quality(documents: DataFrame, model: Model, **names: str) -> DataFrame:

@@ -359,11 +359,13 @@ def learnt_from(labels: DataFrame, id_col: str) -> DataFrame:
 def training_bags(documents: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str, most_words: int = 4000) -> list:
     """Words of at most `sample` labelled documents of each class, first by a hash of the id.
 
-    Labels are learnt only from rows whose crc32 of the id as text is not a multiple of 5. A sampled document
-    of more than `most_words` words gives so many of them, spread over it, so the driver's share is bounded.
+    Labels are learnt only from rows whose crc32 of the id as text is not a multiple of 5; an id whose label rows
+    disagree is not learnt from, and equal bags are one, labelled as most of them. A sampled document of more than `most_words` words gives so many of them, spread over it, so the driver's share is bounded: the fit reads part of
+    such texts, scores read all of every text.
     """
-    known = learnt_from(labels, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
-    some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(sample) for k in (0, 1)]
+    known = learnt_from(labels, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
+    some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -379,7 +381,7 @@ def training_bags(documents: DataFrame, labels: DataFrame, sample: int, id_col:
                     rows.append([p for i in own for p in pieces(names[i])])
             yield pa.RecordBatch.from_arrays([ids, toxic, pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
-    return base.join(F.broadcast(chosen), "doc_id").mapInArrow(bag, _BAG).dropDuplicates(["words"]).toArrow()
+    return base.join(F.broadcast(chosen), "doc_id").mapInArrow(bag, _BAG).groupBy("words").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")).toArrow()
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
