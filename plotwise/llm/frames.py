@@ -151,7 +151,8 @@ def write_frames(documents: DataFrame, tokenizer: str, path: str | None = None,
     Each document's ids are its text's and then `end_id`; a null text is empty. Rows without an id are left
     out: they have no place in the order. Repeated ids are written one after another. One range shuffle of
     (id, text); each partition writes one file under a temporary name and renames it, so a task that is run
-    again does no harm. Returns the manifest: a row for each file, in a table.
+    again does no harm. An empty table gives no file and an empty manifest; other columns may have any names and are
+    ignored. Returns the manifest: a row for each file, in a table.
     """
     spark = documents.sparkSession
     folder = path or new_path(spark, "frames")
@@ -183,35 +184,51 @@ def read_frames(manifest: DataFrame, id_col: str = "doc_id", wanted: DataFrame |
     """One row a document of the files in a manifest: id_col, start (ids of all documents before it), n_tokens, ids_crc32.
 
     `wanted`, a table with id_col, restricts it to some documents: only files and frames that hold them are
-    read. The files' starts come from a running sum over the manifest, a row a file.
+    read; ids that no file holds, and null ids, give no row. A document with an empty text has its end id; an empty
+    manifest gives no rows. The files' starts come from a running sum over the manifest, a row a file.
     """
-    starts = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("first_doc", "path")) - F.col("n_ids"))
     spark = manifest.sparkSession
-    if wanted is not None:
-        ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-        ends = starts.withColumn("next_doc", F.lead("first_doc").over(Window.orderBy("first_doc", "path")))
-        chosen = ids.join(F.broadcast(ends), (F.col("doc_id") >= F.col("first_doc")) & (F.col("doc_id") <= F.coalesce("next_doc", F.lit((1 << 63) - 1))))
-        starts = chosen.groupBy("path", "base").agg(F.collect_list("doc_id").alias("only"))
+    names = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    starts = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("first_doc", "path")) - F.col("n_ids"))
+    if wanted is None:
+        plan = starts.select("path", "base", F.lit(None).cast("long").alias("only")).repartition(partitions(spark), "path")
     else:
-        starts = starts.select("path", "base", F.lit(None).cast("array<long>").alias("only"))
+        firsts = np.array([r.first_doc for r in manifest.select("first_doc").orderBy("first_doc").collect()], np.int64)  # 8 bytes a file
+
+        def where(it) -> Iterator[pa.RecordBatch]:
+            for (ids,) in batches(it, ["doc_id"]):
+                at = np.searchsorted(firsts, ids.to_numpy(), side="right") - 1
+                inside = at >= 0  # an id lies in one file: files are ranges of ids
+                yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy()[inside]), pa.array(firsts[at[inside]])], names=["only", "first_doc"])
+
+        ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+        plan = ids.mapInArrow(where, "only long, first_doc long").join(starts, "first_doc").select("path", "base", "only")
+        plan = plan.repartition(partitions(spark), "path").sortWithinPartitions("path", "only")
 
     def read(it) -> Iterator[pa.RecordBatch]:
-        for paths, bases, only in batches(it, ["path", "base", "only"]):
-            for path, base, chosen in zip(paths.to_pylist(), bases.to_pylist(), only.to_pylist()):
-                reader = FrameReader(path)
-                places = None if chosen is None else np.flatnonzero(np.isin(reader.docs[:, 0], np.array(chosen, np.int64)))
+        reader, have = None, None
+        for b in it:
+            paths, bases = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("path", "base"))
+            only = b.column(b.schema.get_field_index("only"))
+            cuts = [0, *[i for i in range(1, len(paths)) if paths[i] != paths[i - 1]], len(paths)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                if have != paths[i]:
+                    reader, have = FrameReader(paths[i]), paths[i]
+                chosen = only.slice(i, j - i)
+                places = None if chosen.null_count else np.flatnonzero(np.isin(reader.docs[:, 0], chosen.to_numpy()))
                 rows: list = [[], [], [], [], []]
-                for doc, start, ids in reader.read(places):
-                    full = ids.astype("<u4")
-                    for column, x in zip(rows, (doc, base + start, len(full), zlib.crc32(full.tobytes()), full.astype(np.int32) if with_ids else None)):
+                for doc, start, ids_ in reader.read(places):
+                    full = ids_.astype("<u4")
+                    for column, x in zip(rows, (doc, bases[i] + start, len(full), zlib.crc32(full.tobytes()), full.astype(np.int32) if with_ids else None)):
                         column.append(x)
                     if len(rows[0]) == 2000:
                         yield _rows(rows, with_ids)
                         rows = [[], [], [], [], []]
                 yield _rows(rows, with_ids)
 
-    out = starts.repartition(partitions(spark), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
-    return out.withColumnRenamed("doc_id", id_col)
+    return plan.mapInArrow(read, names).withColumnRenamed("doc_id", id_col)
 
 
 def _rows(rows: list, with_ids: bool) -> pa.RecordBatch:

@@ -1,4 +1,8 @@
-"""Packing without padding: documents are cut at powers of two, and pieces of equal length share a bucket."""
+"""Packing without padding: documents are cut at powers of two, and pieces of equal length share a bucket.
+
+Sequences are numbered bucket after bucket, so a bucket is one range of sequence ids and a batch is a range
+within it.
+"""
 
 from __future__ import annotations
 
@@ -29,14 +33,15 @@ def pack_powers_of_two(documents: DataFrame, tokenizer: str, end_id: int = 1, lo
     A document of n ids (its text's, then `end_id`) gives floor(n / longest) pieces of `longest` and one for
     each set bit of the rest, in falling length. Pieces of one length form a bucket (`length`): a batch
     takes its rows from one bucket, so nothing is padded, no sequence holds two documents, and each id lies
-    in exactly one piece. `sequence_id` counts from 0 without gaps over all pieces; `offset` is 0.
+    in exactly one piece. `sequence_id` counts from 0 without gaps over all pieces, the longest bucket first; within
+    a bucket by partition of the input and order in it. `offset` is 0.
 
     Returns one row a piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and `ids`
     (array of int) if `with_ids`. A null or empty text is one piece of length 1, the end id; null ids and
     repeated rows are packed like any other row; an empty table gives no rows; other columns are ignored.
 
     Each task encodes its own rows: no shuffle of text or ids. What is written between is a row a piece, and
-    the numbering joins one row for each input partition.
+    the numbering joins one row for each input partition and bucket (at most log2(longest) + 1 a partition).
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -44,7 +49,7 @@ def pack_powers_of_two(documents: DataFrame, tokenizer: str, end_id: int = 1, lo
     def cut(it) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, done, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, done, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer)
         for ids, texts in batches(it, ["doc_id", "text"]):
             for block in blocks(texts):
                 flat, offsets = enc.block(block, end_id)
@@ -63,15 +68,28 @@ def pack_powers_of_two(documents: DataFrame, tokenizer: str, end_id: int = 1, lo
                             kept.append(own[at : at + n])
                         at += n
                 doc = ids.take(pa.array(block.rows[row] if row else [], pa.int64()))
-                cols = [doc, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(np.arange(done, done + len(row)))]
+                size, place = np.array(lengths, np.int64), np.empty(len(row), np.int64)
+                for n in np.unique(size).tolist():  # a piece's place in its bucket, within this partition
+                    own = np.flatnonzero(size == n)
+                    place[own] = done.get(n, 0) + np.arange(len(own))
+                    done[n] = done.get(n, 0) + len(own)
+                cols = [doc, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(place)]
                 if with_ids:
                     sizes = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(kept).astype(np.int32))))
-                done += len(row)
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place", *["ids"] * with_ids])
 
     pieces = written(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, _PIECE + ", ids array<int>" * with_ids), "pieces")
-    counts = pieces.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition of the input
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    out = pieces.join(F.broadcast(before), "part")
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))  # one row a partition of the input and bucket
+    before = counts.select("length", "part", (F.sum("n").over(Window.orderBy(F.desc("length"), "part")) - F.col("n")).alias("base"))
+    out = pieces.join(F.broadcast(before), ["length", "part"])
     return out.select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
+
+
+def write_buckets(pieces: DataFrame, path: str, files: int = 8) -> None:
+    """Writes pieces as a folder a bucket (`length=...`), each in some `files` files, sorted by sequence_id: a batch reads one folder.
+
+    Pieces of one length may be a third of all rows or more: they are dealt over the files, not sent to one task.
+    """
+    share = F.pmod(F.xxhash64("sequence_id"), F.lit(files)).cast("int")
+    pieces.repartition(F.col("length"), share).sortWithinPartitions("length", "sequence_id").write.partitionBy("length").parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import partitions
-from .textkit import RAW_TABLE, batches, blocks, distinct, text_buffers, words
+from .textkit import RAW_TABLE, U64, batches, blocks, distinct, give_back, mix, text_buffers, words
 from .tokens import piece_counter
 
 #: Text of one message block: so many bytes share one list of distinct pre-tokens.
@@ -24,18 +24,19 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
     1. Blocks of documents are cut into pre-tokens (runs between ASCII white space, which the vocabulary
        drops and never joins across) and counted per document.
     2. A block's distinct pre-tokens go to `buckets` by hash, each once a block, with their postings
-       (document of the block, frequency). In its bucket a pre-token is counted by the library once, and
-       the product with the frequencies is summed per document of the block.
+       (document of the block, frequency). A bucket's messages follow one another in one task: there a
+       pre-token is counted by the library once, whatever the number of blocks that hold it, and the product
+       with the frequencies is summed per document of the block.
     3. The partial sums of a block meet by its number and are added.
     No row is sent for each word of each document, a word in every document is one entry a block, and a
     bucket keeps only its share of the vocabulary. Vocabularies that join across white space
     (sentencepiece, byte-level BPE) have no independent pre-tokens; there the whole text is the pre-token.
 
     Null and empty texts have 0 tokens; repeated rows and null ids are rows like any other; an empty table
-    gives no rows; other columns are ignored. `buckets` is the number of shuffle partitions unless given.
+    gives no rows; other columns are ignored. `buckets` is four times the number of shuffle partitions unless given.
     """
     spark = documents.sparkSession
-    n_buckets = buckets or partitions(spark)
+    n_buckets = buckets or 4 * partitions(spark)
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not piece_counter(tokenizer).splits:
         return _whole(base, tokenizer, limit, id_col)
@@ -74,7 +75,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
                 sizes = np.diff(block.offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*rows["bucket"], n_buckets], pa.int32()),
+                        pa.array([*rows["bucket"], -1 - int(mix(np.array([block_no], U64))[0] % U64(1 << 30))], pa.int32()),
                         pa.array(head, pa.int64()),
                         pa.array([m] * n, pa.int32()),
                         *[pa.array([*rows[c], None], pa.binary()) for c in ("words", "doc", "word", "times")],
@@ -86,16 +87,22 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
                 block_no += 1
 
     def count(it) -> Iterator[pa.RecordBatch]:
-        counter = piece_counter(tokenizer)
+        counter, now, known = piece_counter(tokenizer), None, {}
         for b in it:
             out = []
             for bucket, text, doc, word, times, n in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "words", "doc", "word", "times", "n_docs")]):
                 if text is None:
                     out.append(None)
                     continue
-                each = np.array(counter.counts(text.split(b"\n")), np.float64)
+                if bucket != now:
+                    now, known = bucket, {}
+                pieces = text.split(b"\n")
+                new = [p for p in pieces if p not in known]
+                known.update(zip(new, counter.counts(new)))
+                each = np.array([known[p] for p in pieces], np.float64)
                 out.append(_small(np.bincount(_big(doc), each[_big(word)] * _big(times), n).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in ("block", "n_docs")], pa.array(out, pa.binary()), *[b.column(b.schema.get_field_index(c)) for c in ("ids", "sizes")]], names=["block", "n_docs", "sums", "ids", "sizes"])
+        give_back()
 
     def add(key, table):
         total, ids, sizes = 0, None, None
@@ -107,7 +114,8 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
         total = np.zeros(len(ids), np.int64) + total
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(total)})
 
-    sent = base.mapInArrow(send, _MESSAGE).repartition(n_buckets, "bucket")
+    n_parts = partitions(spark)
+    sent = base.mapInArrow(send, _MESSAGE).repartitionById(n_parts, F.pmod("bucket", F.lit(n_parts)).cast("int")).sortWithinPartitions("bucket")
     counted = sent.mapInArrow(count, "block long, n_docs int, sums binary, ids array<long>, sizes array<long>")
     out = counted.groupBy("block").applyInArrow(add, "doc_id long, n_bytes long, n_tokens long")
     return out.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -21,10 +21,33 @@ _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _NORMALIZERS = {"NFC", "Lowercase", "Replace"}
 
 
+class Recent:
+    """A store of at most `keep` entries that forgets the least recently used ones first, half of it at a time."""
+
+    def __init__(self, keep: int) -> None:
+        self.half, self.new, self.old = max(1, keep // 2), {}, {}
+
+    def get(self, keys: list) -> list:
+        """The value of each key, None where it is not held."""
+        found = list(map(self.new.get, keys))
+        if self.old:
+            again = self.old.get
+            moved = {k: v for k, x in zip(keys, found) if x is None and (v := again(k)) is not None}
+            if moved:
+                found = [moved.get(k) if x is None else x for k, x in zip(keys, found)]
+                self.put(moved)
+        return found
+
+    def put(self, more: dict) -> None:
+        if len(self.new) + len(more) > self.half:
+            self.old, self.new = self.new, {}
+        self.new.update(more)
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them without added special tokens.
 
-    `keep` bounds the pieces held in memory; it costs time, not results.
+    `keep` bounds the pieces and the pre-tokens held in memory; it costs time, not results.
     """
 
     def __init__(self, path: str, keep: int = 200_000) -> None:
@@ -41,9 +64,7 @@ class Encoder:
         self.splits = self._splits(rules) and not any(set(s) & set(b" \t\n\r\x0b\x0c") for s in self.special)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.keep = keep
-        self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.pieces, self.words = Recent(keep), Recent(keep)
         if self.splits:
             import regex
 
@@ -84,23 +105,18 @@ class Encoder:
     def learn(self, new) -> dict[bytes, bytes]:
         """Ids of pieces, each worked out once: the model sees every distinct pre-token."""
         parts = {p: self._parts(p) for p in new}
-        words, fresh = self.words, {}
-        for ws in parts.values():
-            for w in ws or ():
-                if w not in words:
-                    fresh[w] = None
+        every = list(dict.fromkeys([w for ws in parts.values() for w in ws or ()]))
+        got = dict(zip(every, self.words.get(every)))
+        fresh = [w for w in every if got[w] is None]
         tokenize, names = self.tokenizer.model.tokenize, self._byte
         ids, at = [], [0]
         for w in fresh:
             ids += [t.id for t in tokenize(w.decode("ascii") if w.isascii() else "".join([names[b] for b in w]))]
             at.append(len(ids))
         flat, wide = self._pack(ids), self.dtype.itemsize
-        for w, i, j in zip(fresh, at, at[1:]):
-            fresh[w] = flat[i * wide : j * wide]
-        if len(words) + len(fresh) > self.keep:
-            self.words = words = {w: words[w] for ws in parts.values() for w in ws or () if w in words}
-        words.update(fresh)
-        got = words
+        more = {w: flat[i * wide : j * wide] for w, i, j in zip(fresh, at, at[1:])}
+        self.words.put(more)
+        got.update(more)
         return {p: self._library(p.decode("utf-8", "replace")) if ws is None else got[ws[0]] if len(ws) == 1 else b"".join([got[w] for w in ws]) for p, ws in parts.items()}
 
     def block(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +153,13 @@ class Encoder:
 
     def look_up(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each piece; pieces not met before are learnt."""
-        found = list(map(self.pieces.get, pieces))
+        found = self.pieces.get(pieces)
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             new = self.learn([pieces[i] for i in missing])
             for i in missing:
                 found[i] = new[pieces[i]]
-            if len(self.pieces) + len(new) > self.keep:  # start afresh with what this block holds
-                self.pieces = dict(zip(pieces, found))
-            else:
-                self.pieces.update(new)
+            self.pieces.put(new)
         return found
 
 
@@ -157,7 +170,7 @@ def encoder(path: str, keep: int = 200_000) -> Encoder:
 
 
 class PieceCounter:
-    """How many ids each piece gives, for .json (tokenizers) and .model (sentencepiece) vocabularies.
+    """How many ids each of some distinct pieces gives, for .json (tokenizers) and .model (sentencepiece) vocabularies.
 
     `splits` tells whether the pieces between white space are independent, so that their counts add up.
     """
@@ -173,7 +186,7 @@ class PieceCounter:
             enc = encoder(path)
             self.splits, wide = enc.splits, enc.dtype.itemsize
             if self.splits:
-                self.counts = lambda texts: [len(x) // wide for x in enc.look_up(texts)]
+                self.counts = lambda texts: [len(x) // wide for x in map(enc.learn(texts).get, texts)]
             else:
                 self.counts = lambda texts: [len(enc._library(t.decode("utf-8", "replace"))) // wide for t in texts]
 
