@@ -54,7 +54,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_media(media_table(_table(spark, sf_dir, "documents")))
+    """The features, and the resampled PCM itself as a column: what writes the result stores it."""
+    return decode_media(media_table(_table(spark, sf_dir, "documents")), with_pcm=True)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,8 @@ def media_table(documents: DataFrame, codec: str | None = None, id_col: str = "d
 
     The payload is the UTF-8 text (null: empty) with bytes 0 up to a positive multiple of 64; it becomes
     mu-law or A-law samples, or IMA ADPCM blocks of 64 bytes, unchanged. Unless `codec` names one, the
-    payload's checksum picks it, so equal texts are stored alike. A row for each row, no shuffle.
+    payload's checksum picks it, so equal texts are stored alike. A row for each row, null ids and repeated rows
+    included, no shuffle; an empty table gives an empty one; other columns may have any names and are ignored.
     """
 
     def store(it) -> Iterator[pa.RecordBatch]:
@@ -172,7 +173,9 @@ def decode_media(media: DataFrame, to_rate: int = 16000, with_pcm: bool = False)
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 payload bytes), media_bytes,
     media_sha256, feature, and `pcm` (little-endian 16-bit samples at `to_rate`) if `with_pcm`. The feature is
-    codec:samples:peak:rms:sign changes:crc32 of the resampled PCM, all in whole numbers.
+    codec:samples:peak:rms:sign changes:crc32 of the resampled PCM, all in whole numbers. Null ids and repeated rows
+    are rows like any other, equal files give equal values, and an empty table gives no rows. What is not a WAVE
+    file is an error.
     """
 
     def decode(it) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,7 @@ def decode_media(media: DataFrame, to_rate: int = 16000, with_pcm: bool = False)
             data, offsets = text_buffers(files)
             at = 0
             while at < len(ids):
-                end = min(len(ids), max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), side="right")) - 1))
+                end = min(len(ids), max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1))
                 stored = [data[a:b].tobytes() for a, b in zip(offsets[at:end].tolist(), offsets[at + 1 : end + 1].tolist())]
                 rows = describe(stored, to_rate, with_pcm)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), sizes.slice(at, end - at), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS[: 6 + with_pcm])]], names=_NAMES[: 8 + with_pcm])
