@@ -37,11 +37,13 @@ _ENDS_SVG = frozenset(
 ) | (BLOCK_TAGS - {"title"})
 _SVG_HTML = {"foreignobject", "desc", "title"}
 
+#: What stands in a tag after its name: a quote opens a value only after "=", and a quoted value may hold anything.
+_INSIDE = r"(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|iframe|textarea)(?=[\s/>])[^<>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(script|style|noscript|iframe|textarea)(?=[\s/>]){_INSIDE}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*)>?",
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})>?",
     re.S | re.I,
 )
 _LAST = {name: re.compile(rf".*</{name}(?=[\s/>])", re.S | re.I) for name in ("template", "title")}
@@ -51,16 +53,68 @@ PATH, WORDS, NUMBERS = 96, 32, 10
 INPUT = PATH + WORDS + NUMBERS
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
+class Path:
+    """Block elements from the root, each followed by its class, id and role words: what the labeller reads of them.
+
+    A path is made from the one above it, so that deep nesting costs no more than its own tags.
+    """
+
+    __slots__ = ("all", "tail", "size", "_bins")
+
+    def __init__(self, above: "Path | None", words_: tuple[str, ...]) -> None:
+        new = {zlib.crc32(x.encode()) % PATH for x in words_}
+        self.all = frozenset(new) if above is None else above.all if new <= above.all else above.all | new
+        self.tail = ((above.tail if above else ()) + words_)[-3:]
+        self.size = (above.size if above else 0) + len(words_)
+        self._bins: tuple[int, ...] | None = None
+
+    @property
+    def bins(self) -> tuple[int, ...]:
+        if self._bins is None:
+            self._bins = tuple(sorted(self.all | {zlib.crc32(("last " + x).encode()) % PATH for x in self.tail[-2:]}))
+        return self._bins
+
+
+_ROOT = Path(None, ())
+
+
+class _Stack:
+    """Open elements, with the places of each name at hand: no search through them, however deep they are."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.paths: list[Path] = [_ROOT]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, words_: tuple[str, ...] = ()) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.paths.append(Path(self.paths[-1], (name, *words_)))
+
+    def cut(self, at: int) -> None:
+        while len(self.names) > at:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names, -1 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    @property
+    def top(self) -> str | None:
+        return self.names[-1] if self.names else None
+
+
+def leaf_blocks(page: str) -> list[tuple[str, Path, int]]:
     """Blocks of a page in order: text with references decoded and white space made single, tag path, characters inside links.
 
-    The path holds block elements from the root, each followed by its class, id and role words. Scripts,
+    Scripts,
     styles, drawings, templates, comments and the head give no block. Only the raw-text elements run to the end
     of the page where their end tag is missing: a drawing ends at the first tag that cannot stand in it, a head
     at the first tag or text, and a template that is never closed is read. Broken markup is read as far as it goes.
     """
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[str, Path, int]] = []
+    stack = _Stack()
     buffer: list[str] = []
     linked = in_link = at = templates = 0
     svg: list[str] = []
@@ -73,23 +127,23 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         return ends[name]
 
     def leave_head() -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "head":
-                stack[k:] = [("body", ())]
-                break
+        at_head = stack.last(("head",))
+        if at_head >= 0:
+            stack.cut(at_head)
+            stack.push("body")
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
-            if text and not any(t == "head" for t, _ in stack):
-                out.append((text, tuple([x for t, names in stack for x in (t, *names)]), linked))
+            if text and stack.last(("head",)) < 0:
+                out.append((text, stack.paths[-1], linked))
         linked = 0
 
     for m in _TOKEN.finditer(page):
         if m.start() > at and not svg and not templates:
-            if stack and stack[-1][0] == "head" and not page[at : m.start()].isspace():
+            if stack.top == "head" and not page[at : m.start()].isspace():
                 leave_head()
             buffer.append(page[at : m.start()])
             if in_link:
@@ -116,7 +170,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                     svg.append(name)
                 continue
             svg.clear()
-        if stack and stack[-1][0] == "title" and name != "title" and at < last_end("title"):
+        if stack.top == "title" and name != "title" and at < last_end("title"):
             continue  # a title holds text alone
         if not m[2] and name not in _IN_HEAD and name != "body":
             leave_head()
@@ -131,47 +185,38 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             flush()
             in_link = 0
             if m[2]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                k = stack.last((name,))
+                if k >= 0:
+                    stack.cut(k)
                 continue
-            if name in _ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
+            if name in _ENDS_P and stack.top == "p":
+                stack.cut(len(stack.names) - 1)
             if name == "body":
-                while stack and stack[-1][0] in ("head", "title"):
-                    stack.pop()
-                if any(t == "body" for t, _ in stack):
+                while stack.top in ("head", "title"):
+                    stack.cut(len(stack.names) - 1)
+                if stack.last(("body",)) >= 0:
                     continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _HOLDS:
-                    break
-                if stack[k][0] in _CLOSES.get(name, ()):
-                    del stack[k:]
-                    break
+            k = stack.last(_CLOSES.get(name, ()))
+            if k > stack.last(_HOLDS):
+                stack.cut(k)
             if name not in _EMPTY:
                 names = tuple(w for found in _NAMES.finditer(m[4] or "") for w in re.findall(r"[a-z]+", (found[1] or found[2] or found[3] or "").lower()))
-                stack.append((name, names))
+                stack.push(name, names)
     if at < len(page) and not svg and not templates:
-        if stack and stack[-1][0] == "head" and not page[at:].isspace():
+        if stack.top == "head" and not page[at:].isspace():
             leave_head()
         buffer.append(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_bins(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple(sorted({zlib.crc32(x.encode()) % PATH for x in path} | {zlib.crc32(("last " + x).encode()) % PATH for x in path[-2:]}))
-
-
-def features(pages: list[list[tuple[str, tuple[str, ...], int]]]) -> np.ndarray:
+def features(pages: list[list[tuple[str, Path, int]]]) -> np.ndarray:
     """One row a block over all pages: hashed tag path, hashed words, and a few numbers, by page order."""
     flat = [b for page in pages for b in page]
     out = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return out
-    bins = [_path_bins(path) for _, path, _ in flat]
+    bins = [path.bins for _, path, _ in flat]
     row = np.repeat(np.arange(len(flat)), [len(b) for b in bins])
     out[row, np.array([x for b in bins for x in b], np.int64)] = 1
     lo = 0
@@ -197,8 +242,8 @@ def features(pages: list[list[tuple[str, tuple[str, ...], int]]]) -> np.ndarray:
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     x[:, 5] = place / np.maximum(np.repeat(sizes, sizes), 1)
     x[:, 6] = place == 0
-    x[:, 7] = [any(t in ("h1", "h2", "h3", "h4") for t in p[-3:]) for _, p, _ in flat]
-    x[:, 8] = np.minimum([len(p) for _, p, _ in flat], 12) / 12
+    x[:, 7] = [any(t in ("h1", "h2", "h3", "h4") for t in p.tail) for _, p, _ in flat]
+    x[:, 8] = np.minimum([p.size for _, p, _ in flat], 12) / 12
     x[:, 9] = 1
     return out
 

@@ -414,16 +414,25 @@ def test_windows_equal_brute_force(spark, odd):
     assert cut[3] == "" and cut[2] == texts[2] and cut[5] is None
     assert decontamination.overlaps(odd, bench).count() == len(ODD) + 2
     assert decontamination.overlaps(odd, bench.where("false")).where("contaminated").count() == 0
-    many = decontamination.window_sets(bench, 10, at_once=2)
-    assert len(many) > 1  # a large benchmark goes by slices
+    assert decontamination.overlaps(odd.where("false"), bench).count() == 0
+    # a large benchmark goes by joins, with the same rows
+    assert {tuple(r) for r in decontamination.overlaps(df, bench, at_once=2).collect()} == {tuple(r) for r in got.values()}
+    for how in ("documents", "spans"):
+        one, two = (sorted(map(tuple, decontamination.decontaminate(odd.union(odd), bench, remove=how, at_once=n).collect()), key=str) for n in (2, 500))
+        assert one == two
 
 
-def test_slices_give_the_same_hits(spark, docs, monkeypatch):
+def test_a_large_benchmark_gives_the_same_hits(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {tuple(r) for r in decontamination.overlaps(docs, bench).collect()}
-    sets = decontamination.window_sets
-    monkeypatch.setattr(decontamination, "window_sets", lambda *a, **k: sets(*a, **{**k, "at_once": 400}))
-    assert {tuple(r) for r in decontamination.overlaps(docs, bench).collect()} == whole
+    assert {tuple(r) for r in decontamination.overlaps(docs, bench, at_once=400).collect()} == whole
+
+
+@pytest.mark.parametrize("at_once", [3, 500])
+def test_spans_go_at_once(spark, at_once):
+    bench = spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(14)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b " + " ".join(f"k{i}" for i in range(14)) + " c", "x")], "doc_id long, text string, spans string")
+    assert [tuple(r) for r in decontamination.decontaminate(docs, bench, remove="spans", at_once=at_once).collect()] == [(1, "a b  c", "x")]
 
 
 # ---- 7
@@ -542,6 +551,11 @@ def test_main_text(spark):
         ("<p>one</p><object data=x><p>two</p><canvas>three<p>four<video src=v><p>five<audio><p>six", ["one", "two", "three", "four", "five", "six"]),
         ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <math/> so</p>", ["if x=2 then so"]),
         ("<p>one</p><video-player></video-player><template><p>no</p></template><p>two</p><template><p>three</p>", ["one", "two", "three"]),
+        ("<svg><svg></svg><text>no</text></svg><p>one</p>", ["one"]),
+        ('<p title="a<b">x y z</p>', ["x y z"]),
+        ("<p data-t='<b>hey</b>' id=it's>one</p><p>two's</p>", ["one", "two's"]),
+        ('<p title="never closed>one</p><p>two</p>', ["one", "two"]),
+        ("<script data-x='</script>'>no</script><p>one</p>", ["one"]),
         ("<p>one</p><script>no</script x><p>two</p><script>no", ["one", "two"]),
         ("<html><head><title>a <b>t</b></title><meta name=x><p>one</p><p>two</p></html>", ["one", "two"]),
         ("<html><head><title>t</title>one<p>two</p>", ["one", "two"]),
@@ -552,6 +566,15 @@ def test_page_reader_keeps_article_text(page, want):
     assert [t for t, _, _ in html_text.leaf_blocks(page)] == want
 
 
+def test_deep_nesting_is_linear():
+    import time
+
+    for page, n in (("<div>" * 20_000, 0), ("<div>x" * 20_000, 20_000), ("<ul><li>" * 10_000 + "x", 1), ("<p>a<span>" * 20_000 + "</div>" * 20_000, 20_000)):
+        began = time.process_time()
+        assert len(html_text.leaf_blocks(page)) == n
+        assert time.process_time() - began < 3
+
+
 def test_labeller_on_unseen_layouts():
     model, maker = html_text.train(), html_text._Maker(np.random.default_rng(123))
     right = total = 0
