@@ -1,7 +1,10 @@
-"""Text, URLs and page fields as column expressions: nothing here leaves the JVM."""
+"""Text, URLs and page fields as column expressions; but for JSON-LD of any shape nothing leaves the JVM."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +12,6 @@ from pyspark.sql import functions as F
 LAT_MIN, LAT_MAX, LON_MIN, LON_MAX = 40.45, 41.0, -74.3, -73.6
 #: Query parameters of map links that may hold a pair, in order.
 MAP_PARAMS = ("q", "query", "ll", "sll", "center")
-_NUMBER = r"(-?\d+(?:\.\d+)?)"
 
 
 def compare_key(x: Column) -> Column:
@@ -35,16 +37,38 @@ def _matched(x: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
 
 
+def _words(title: Column) -> Column:
+    """The words of a title, with bars and colons as words of their own."""
+    return F.split(squeeze(F.regexp_replace(title, "([|:])", " $1 ")), " ")
+
+
+def _stands_at(words: Column, word: str, after: Column) -> Column:
+    """Where a word first stands beyond a place, in any case; null if nowhere."""
+    places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i > after) & (F.lower(F.get(words, i - 1)) == word))
+    return F.get(places, F.lit(0))
+
+
 def title_address(title: Column) -> Column:
-    """The address in a page title: what stands between `at` and `in`, else before the first `in`; null if neither looks like one."""
-    between = squeeze(_matched(title, r"(?i)\bat\s+([^|:]+?)\s+in\s+"))
-    before = squeeze(_matched(title, r"(?i)^(.+?)\s+in\s+"))
+    """The address in a page title: what stands between `at` and the next `in`, else before the first `in`; null if neither looks like one.
+
+    A bar or colon between the two ends the first form.
+    """
+    words = _words(title)
+    at = _stands_at(words, "at", F.lit(0))
+    until = _stands_at(words, "in", at)
+    inner = F.slice(words, at + 1, F.greatest(until - at - 1, F.lit(0)))
+    between = F.when(~F.arrays_overlap(inner, F.array(F.lit("|"), F.lit(":"))), F.array_join(inner, " "))
+    first = _stands_at(words, "in", F.lit(1))
+    before = F.regexp_replace(F.array_join(F.slice(words, 1, first - 1), " "), " ([|:])", "$1")
     return F.coalesce(F.when(looks_like_address(between), between), F.when(looks_like_address(before), before))
 
 
 def title_neighbourhood(title: Column, breadcrumbs: Column | None = None) -> Column:
-    """What follows ` in ` up to a colon or bar, below 80 characters; else the last of two or more breadcrumbs."""
-    found = squeeze(_matched(title, r"(?i)\sin\s+([^:|]+)"))
+    """What follows the first ` in ` up to a colon or bar, below 80 characters; else the last of two or more breadcrumbs."""
+    words = _words(title)
+    at = _stands_at(words, "in", F.lit(1))
+    stop = F.array_min(F.filter(F.array(_stands_at(words, "|", at), _stands_at(words, ":", at), F.size(words) + 1), lambda x: x.isNotNull()))
+    found = F.nullif(F.array_join(F.slice(words, at + 1, F.greatest(stop - at - 1, F.lit(0))), " "), F.lit(""))
     out = F.when(F.length(found) < 80, found)
     return out if breadcrumbs is None else F.coalesce(out, F.when(F.size(breadcrumbs) >= 2, F.element_at(breadcrumbs, -1)))
 
@@ -70,27 +94,66 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def map_link_coordinates(url: Column) -> Column:
-    """Struct of lat and lon in a map link, the first of five shapes whose pair is plausible; null if none."""
-    path = url_path(url)
-    shapes = [(path, rf"/maps/place/{_NUMBER},\s*{_NUMBER}"), (path, rf"(?:^|/){_NUMBER},\s*{_NUMBER}(?:,|$)"), (path, rf"@{_NUMBER},\s*{_NUMBER}")]
-    for name in MAP_PARAMS:
-        raw = F.regexp_replace(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), r"\+", " ")
-        value = F.regexp_replace(F.regexp_replace(raw, "(?i)%2C", ","), "%20", " ")
-        shapes.append((value, rf"{_NUMBER},\s*{_NUMBER}"))
-    return _first_valid([F.struct(*[F.regexp_extract(text, pattern, k).try_cast("double").alias(n) for k, n in ((1, "lat"), (2, "lon"))]) for text, pattern in shapes])
+def _pair(text: Column) -> Column:
+    """Struct of the first two numbers of a text that is a pair of them with a comma between."""
+    parts = F.transform(F.split(text, ","), F.trim)
+    return F.struct(*[F.get(parts, F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(("lat", "lon"))])
 
 
-def _first_valid(pairs: list[Column]) -> Column:
-    return F.get(F.filter(F.array(*pairs), lambda p: valid_coordinates(p["lat"], p["lon"])), F.lit(0))
+def map_link_coordinates(url: Column) -> Column:
+    """Struct of lat and lon in a map link, the first whose pair is plausible; null if none.
+
+    Read in order: the path's part after /maps/place/, any part of the path, the part after an @, and the
+    query's values for MAP_PARAMS.
+    """
+    parts = F.split(url_path(url), "/")
+    place = F.element_at(F.split(url_path(url), "/maps/place/"), 2)
+    named = F.when(F.contains(url_path(url), F.lit("/maps/place/")), F.get(F.split(place, "/"), F.lit(0)))
+    texts = F.concat(F.array(named), parts, F.transform(F.filter(parts, lambda x: x.contains("@")), lambda x: F.substring_index(x, "@", -1)))
+    query = F.substring_index(F.regexp_replace(url, "^[^?]*", ""), "#", 1)
+    given = F.transform(F.split(F.substring(query, 2, 100_000), "&"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("name"), F.try_url_decode(F.regexp_replace(x, "^[^=]*=?", "")).alias("value")))
+    named_by = lambda n: F.transform(F.filter(given, lambda x: x["name"] == n), lambda x: x["value"])
+    values = [named_by(n) for n in MAP_PARAMS]
+    pairs = F.transform(F.filter(F.concat(texts, *values), lambda x: x.isNotNull()), _pair)
+    return F.get(F.filter(pairs, lambda p: valid_coordinates(p["lat"], p["lon"])), F.lit(0))
 
 
-def json_ld_coordinates(document: Column, depth: int = 3) -> Column:
-    """Struct of lat and lon in a JSON-LD text: a `geo` object, then the object's own pair, then deeper ones along @graph and arrays."""
-    roots = ["$", "$[0]", "$['@graph'][0]", "$['@graph'][1]", "$.mainEntity", "$.about", "$.location", "$.address", "$.item"][: 3 * depth]
-    paths = F.array(*[F.lit(p) for root in roots for p in (f"{root}.geo", root)])
-    pairs = F.transform(paths, lambda p: F.struct(*[parse_number(F.call_function("get_json_object", document, F.concat(p, F.lit("." + k)))).alias(n) for k, n in (("latitude", "lat"), ("longitude", "lon"))]))
-    return F.get(F.filter(pairs, lambda p: valid_coordinates(p["lat"], p["lon"])), F.lit(0))
+def json_ld_coordinates(document: Column, depth: int = 6) -> Column:
+    """Struct of lat and lon in a JSON-LD text, null if there is none or the text is no JSON.
+
+    Of every object its `geo` object is read first, then its own pair, then its values in order, `depth` levels
+    down. A small reader of one text at a time, in Arrow batches: JSON of any shape has no column expression.
+    """
+    def pair(x: dict) -> tuple | None:
+        try:
+            lat, lon = float(x.get("latitude")), float(x.get("longitude"))
+        except (TypeError, ValueError):
+            return None
+        return (lat, lon) if LAT_MIN <= lat <= LAT_MAX and LON_MIN <= lon <= LON_MAX else None
+
+    def search(x, left: int) -> tuple | None:
+        if left < 0 or not isinstance(x, (dict, list)):
+            return None
+        if isinstance(x, dict):
+            found = (pair(x["geo"]) if isinstance(x.get("geo"), dict) else None) or pair(x)
+            if found:
+                return found
+            x = list(x.values())
+        return next((f for v in x if (f := search(v, left - 1))), None)
+
+    def read(text) -> dict | None:
+        try:
+            found = search(json.loads(text), depth) if text else None
+        except (ValueError, RecursionError):
+            return None
+        return {"lat": found[0], "lon": found[1]} if found else {"lat": None, "lon": None}
+
+    @F.pandas_udf("struct<lat:double,lon:double>")
+    def found_in(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(t) or {"lat": None, "lon": None} for t in texts], columns=["lat", "lon"]).astype("float64")
+
+    out = found_in(document)
+    return F.when(out["lat"].isNotNull() & ~F.isnan(out["lat"]), out)
 
 
 def normalize_url(url: Column) -> Column:
@@ -106,9 +169,9 @@ def photo_base_hash(url: Column) -> Column:
 
 def listing_id(path: Column) -> Column:
     """type:rest for paths of buildings, rentals and sales, with colons for slashes; else null."""
-    pattern = r"^/(building|rental|sale)/(.+?)/?$"
-    kind, rest = _matched(path, pattern, 1), _matched(path, pattern, 2)
-    return F.when(kind.isNotNull(), F.concat(kind, F.lit(":"), F.translate(rest, "/", ":")))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    known = F.get(parts, F.lit(0)).isin("building", "rental", "sale") & path.startswith("/") & (F.size(parts) > 1)
+    return F.when(known, F.array_join(parts, ":"))
 
 
 def is_listing_photo(url: Column, hosts: tuple[str, ...]) -> Column:

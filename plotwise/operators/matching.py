@@ -12,8 +12,15 @@ BLOCK = 4096
 
 
 def sign_bits(vector) -> "F.Column":
-    """A vector's signs as one long (the first 64 entries)."""
-    return F.aggregate(F.sequence(F.lit(0), F.least(F.size(vector), F.lit(64)) - 1), F.lit(0).cast("long"), lambda bits, i: F.when(F.get(vector, i) > 0, bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(bits))
+    """A vector's signs as longs of 64 bits, as many as its length needs."""
+    word = lambda k: F.aggregate(F.slice(vector, k * 64 + 1, 64), F.lit(0).cast("long"), lambda bits, x: F.call_function("shiftleft", bits, F.lit(1)).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(0).cast("long")))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) + 63) / 64).cast("int") - 1), word)
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of longs of one length as rows of unsigned words."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return rows.flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -36,15 +43,18 @@ def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataF
     def compare(key, x, y):
         ids, other = x.column("id").to_numpy(), y.column("r_id").to_numpy()
         order = np.argsort(other, kind="stable")
-        other, bits = other[order], y.column("r_bits").to_numpy()[order].view(np.uint64)
-        rows = [[], [], []]
-        for i, own in zip(ids, x.column("bits").to_numpy().view(np.uint64)):
-            distance = np.bitwise_count(bits ^ own)
-            best = np.argsort(distance, kind="stable")[:k]
-            rows[0].append(np.full(len(best), i))
-            rows[1].append(other[best])
-            rows[2].append(distance[best].astype(np.int64))
-        columns = [np.concatenate([*r, np.zeros(0, np.int64)]).astype(np.int64) for r in rows]
+        other, rows = other[order], [[np.zeros(0, np.int64)] for _ in range(3)]
+        if len(ids) and len(other):
+            mine, theirs = _words(x.column("bits")), _words(y.column("r_bits"))[order]
+            for lo in range(0, len(ids), 256):  # a slab of the table of distances at a time
+                distance = np.zeros((min(256, len(ids) - lo), len(other)), np.int64)
+                for w in range(mine.shape[1]):
+                    distance += np.bitwise_count(mine[lo : lo + 256, w, None] ^ theirs[None, :, w])
+                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                rows[0].append(np.repeat(ids[lo : lo + 256], best.shape[1]))
+                rows[1].append(other[best].ravel())
+                rows[2].append(np.take_along_axis(distance, best, 1).ravel())
+        columns = [np.concatenate(r).astype(np.int64) for r in rows]
         return pa.table({**{c: pa.array([v.as_py()] * len(columns[0]), v.type) for c, v in zip(keys, key)}, "id": columns[0], "other": columns[1], "distance": columns[2]})
 
     kinds = ", ".join(f"{c} {dict(left.dtypes)[c]}" for c in keys)
@@ -55,11 +65,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataF
     return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that are each other's nearest: keys, id, other, distance."""
+def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """Pairs that are each other's nearest: keys, id, other, distance; the `most` nearest of each group of keys, if a number is given."""
     there = nearest(left, right, 1, keys)
     back = nearest(right, left, 1, keys).select(*keys, F.col("id").alias("other"), F.col("other").alias("id"))
-    return there.drop("rank").join(back, [*keys, "id", "other"], "left_semi")
+    pairs = there.drop("rank").join(back, [*keys, "id", "other"], "left_semi")
+    if most is None:
+        return pairs
+    by = Window.partitionBy(*keys).orderBy("distance", "id")
+    return pairs.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
 
 
 def ratio_test(left: DataFrame, right: DataFrame, keys: list[str], ratio: float = 0.78) -> DataFrame:

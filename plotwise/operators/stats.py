@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import WINDOWS
 from ..functions.numeric import DEFAULT_POPULATION, MEASURES, ambient_population, falsy_default, half_up, is_number, measure_values, safe_rate
 from ..functions.text import compare_key
 
@@ -32,16 +33,20 @@ def categorize(incidents: DataFrame, categories: DataFrame, offence: str = "offe
     return incidents.withColumn("_key", compare_key(F.col(offence))).join(dim, "_key").drop("_key")
 
 
-def window_counts(events: DataFrame, areas: DataFrame, metrics: DataFrame, ranges: DataFrame) -> DataFrame:
-    """window, area_id, metric, count for every area, metric and window, 0 where nothing happened.
+def window_counts(events: DataFrame, areas: DataFrame, metrics: DataFrame, ranges: DataFrame, windows: list[str] | None = None) -> DataFrame:
+    """window, area_id, metric, count for every area, metric and window (of `windows`, all known ones unless given), 0 where nothing happened.
 
-    Events (area_id, metric, date) are added up by day first, so that only day totals meet the overlapping
-    windows (both ends included); the grid of areas, metrics and windows is what the report has rows for.
+    One pass: each event (area_id, metric, date) meets one row that holds all windows (both ends included) and is
+    counted in every window it lies in, before the shuffle. The dense grid is of areas and metrics; windows
+    are laid out last.
     """
-    days = events.where("area_id is not null and metric is not null and date is not null").groupBy("area_id", "metric", "date").agg(F.count("*").alias("n"))
-    hits = days.join(ranges, F.col("date").between(F.col("start"), F.col("end"))).groupBy("window", "area_id", "metric").agg(F.sum("n").alias("n"))
-    grid = ranges.select("window").crossJoin(metrics.select("metric")).crossJoin(areas.select("area_id"))
-    return grid.join(hits, ["window", "area_id", "metric"], "left").select("window", "area_id", "metric", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+    names = list(WINDOWS) if windows is None else windows
+    one = ranges.groupBy().pivot("window", names).agg(F.first(F.struct("start", "end")))
+    known = events.where("area_id is not null and metric is not null and date is not null").join(F.broadcast(one))
+    sums = known.groupBy("area_id", "metric").agg(*[F.count_if(F.col("date").between(F.col(f"`{w}`.start"), F.col(f"`{w}`.end"))).alias(f"n_{w}") for w in names])
+    grid = areas.select("area_id").join(F.broadcast(metrics.select("metric"))).join(sums, ["area_id", "metric"], "left")
+    rows = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.coalesce(f"n_{w}", F.lit(0)).cast("long").alias("count")) for w in names]))
+    return grid.select("area_id", "metric", rows.alias("r")).select("r.window", "area_id", "metric", "r.count")
 
 
 def area_stats(counts: DataFrame, areas: DataFrame) -> DataFrame:
@@ -113,9 +118,14 @@ def require_rows(rows: DataFrame, message: str) -> DataFrame:
     return rows
 
 
+def incomplete(areas: DataFrame, column: str = "population") -> DataFrame:
+    """The areas without a value above 0."""
+    return areas.where(F.coalesce(F.col(column), F.lit(0)) <= 0)
+
+
 def require_complete(areas: DataFrame, column: str = "population") -> DataFrame:
     """The areas, or an error that counts and names the first ten without a value above 0."""
-    missing = areas.where(F.coalesce(F.col(column), F.lit(0)) <= 0)
+    missing = incomplete(areas, column)
     n = missing.count()
     if n:
         raise ValueError(f"{n} areas without {column}: " + ", ".join(str(r[0]) for r in missing.select("area_id").orderBy("area_id").limit(10).collect()))

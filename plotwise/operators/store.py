@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import photo_base_hash
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
@@ -74,3 +76,9 @@ def annotate(photos: DataFrame, positions: DataFrame, key: str = "photo_url") ->
     """Photos with their positions, unplaced ones (0 among them) last."""
     placed = photos.join(positions, key, "left")
     return placed.orderBy(F.when(F.coalesce("position", F.lit(0)) == 0, None).otherwise(F.col("position")).asc_nulls_last(), key)
+
+
+def positions_by_hash(photos: DataFrame, thumbnails: DataFrame, photo_url: str, thumb_url: str) -> DataFrame:
+    """Photos with the position of the thumbnail whose link has the same base: the smallest of several, null where none has it."""
+    base = thumbnails.select(photo_base_hash(F.col(thumb_url)).alias("_base"), "position").where("_base is not null").groupBy("_base").agg(F.min("position").alias("position"))
+    return photos.withColumn("_base", photo_base_hash(F.col(photo_url))).join(base, "_base", "left").drop("_base")

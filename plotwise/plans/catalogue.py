@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, numeric, text
-from ..operators import matching, photo, robust, scene, spatial, stats, store
+from ..operators import estimates, matching, photo, robust, scene, spatial, stats, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -220,8 +220,9 @@ def latest_partition_rollup(spark, sf_dir):
 @_query("SELECT CAST(n_nationkey AS BIGINT) AS area_id FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 0) OR n_nationkey = 0")
 def completeness_guard(spark, sf_dir):
     """The areas a completeness check would name: no supplier with a balance, or none on record."""
-    have = _t(spark, sf_dir, "supplier").where("s_acctbal > 0 and s_nationkey <> 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
-    return _t(spark, sf_dir, "nation").join(have, "n_nationkey", "left_anti").select(F.col("n_nationkey").cast("long").alias("area_id"))
+    have = _t(spark, sf_dir, "supplier").where("s_acctbal > 0 and s_nationkey <> 0").groupBy(F.col("s_nationkey").cast("long").alias("area_id")).agg(F.count("*").alias("population"))
+    areas = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("area_id")).join(have, "area_id", "left")
+    return stats.incomplete(areas).select("area_id")
 
 
 @_query("""WITH p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '0' ELSE CAST(p_size AS VARCHAR) END AS kind, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS code, p_type FROM part)
@@ -552,7 +553,7 @@ def circular_mean(spark, sf_dir):
 
 @_query("SELECT l_suppkey, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS violation FROM lineitem GROUP BY l_suppkey")
 def fractions(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((F.count_if(F.col("l_discount") > 0.05).cast("double") / F.count("*")).alias("violation"))
+    return estimates.fraction(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_discount") > 0.05, "violation")
 
 
 @_query("SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) >= 3 THEN quantile_cont(l_extendedprice, 0.75) ELSE max(l_extendedprice) END AS estimate, min(l_extendedprice) * CAST(0.9 AS DOUBLE) AS lo, max(l_extendedprice) * CAST(1.1 AS DOUBLE) AS hi FROM lineitem GROUP BY l_orderkey")
@@ -573,7 +574,7 @@ def quality_fallback(spark, sf_dir):
     return robust.keep_or_all(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_discount") < 0.02).select("l_orderkey", "l_linenumber")
 
 
-@_query()
+@_query("SELECT * FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 500")
 def deterministic_sample(spark, sf_dir):
     """A sampling operator: the limit is what it is for."""
     return robust.deterministic_sample(_t(spark, sf_dir, "events"), "event_id", 500)
@@ -698,10 +699,11 @@ def oriented_extent(spark, sf_dir):
 
 @_query("""WITH e AS (SELECT l_suppkey % 25 AS k, (l_orderkey % 180) * pi() / 180 AS a, CAST(l_linenumber AS DOUBLE) AS len FROM lineitem),
 g AS (SELECT k, s, sum(len * exp(-0.5 * power(least((a - s * pi() / 180) - floor((a - s * pi() / 180) / pi()) * pi(), pi() - ((a - s * pi() / 180) - floor((a - s * pi() / 180) / pi()) * pi())) / radians(11), 2))) AS score FROM e, range(0, 181) t(s) GROUP BY ALL)
-SELECT k, floor(max(score) * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS score FROM g GROUP BY k""")
+SELECT k, floor(max(score) * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS score, CAST(arg_max(s % 180, (round(score, 6), -s)) AS BIGINT) AS degrees FROM g GROUP BY k""")
 def dominant_angle(spark, sf_dir):
     edges = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 25).alias("k"), F.radians((F.col("l_orderkey") % 180).cast("double")).alias("a"), F.col("l_linenumber").cast("double").alias("len"))
-    return scene.dominant_angle(edges, "k", "a", "len").select("k", numeric.half_up(F.col("score"), 3).alias("score"))
+    degrees = F.floor(F.degrees("angle") + 0.5) % 180
+    return scene.dominant_angle(edges, "k", "a", "len").select("k", numeric.half_up(F.col("score"), 3).alias("score"), degrees.alias("degrees"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) = 1")
@@ -754,3 +756,6 @@ def scene_fuse(spark, sf_dir):
     eye = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
     cameras = views.select("scene_id", "view").distinct().select("scene_id", "view", eye.alias("r"), F.array(F.col("view") * 0.5, F.lit(0.0), F.lit(0.0)).alias("t"))
     return photo.fuse_views(views, cameras, least_view=200)
+
+
+from . import further  # noqa: E402,F401 - registers its queries here

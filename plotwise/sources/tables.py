@@ -41,9 +41,11 @@ def geojson_geometry(kind: Column, coordinates: Column) -> Column:
 def read_boundaries(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
     """Areas of a boundary file: the newer code or else the older, name, borough, geometry; typed areas other than 0 go.
 
-    `limit` is part of the feature: the file holds at most so many areas.
+    `limit` is part of the feature: a file of more areas is an error, for which would stay is nobody's choice.
     """
-    raw = spark.read.schema("nta2020 string, ntacode string, ntaname string, boroname string, ntatype string, the_geom struct<type:string,coordinates:string>").json(path).limit(limit)
+    raw = spark.read.schema("nta2020 string, ntacode string, ntaname string, boroname string, ntatype string, the_geom struct<type:string,coordinates:string>").json(path)
+    if raw.limit(limit + 1).count() > limit:
+        raise ValueError(f"{path} holds more than {limit} areas")
     kept = raw.where(F.col("ntatype").isNull() | F.col("ntatype").isin("", "0"))
     code = F.coalesce(F.nullif("nta2020", F.lit("")), F.nullif("ntacode", F.lit("")))
     return kept.select(code.alias("area_id"), F.col("ntaname").alias("name"), F.coalesce("boroname", F.lit("")).alias("borough"), geojson_geometry(F.col("the_geom.type"), F.col("the_geom.coordinates")).alias("geometry")).where("area_id is not null")
@@ -66,8 +68,11 @@ def stats_document(stats: DataFrame) -> DataFrame:
 
 
 def write_pretty_json(rows: DataFrame, key: str, path: str, meta: dict) -> None:
-    """A small report (one row an area) as one key-sorted JSON text file."""
-    body = {str(r[key]): {k: v for k, v in r.asDict().items() if k != key} for r in rows.collect()}
+    """A small report (one row an area, 10,000 at most) as one key-sorted JSON text file."""
+    some = rows.limit(10_001).collect()
+    if len(some) > 10_000:
+        raise ValueError("a report holds at most 10,000 rows")
+    body = {str(r[key]): {k: v for k, v in r.asDict().items() if k != key} for r in some}
     text = json.dumps({**meta, "areas": body}, indent=2, sort_keys=True)
     rows.sparkSession.createDataFrame([(text,)], T.StructType([T.StructField("value", T.StringType())])).coalesce(1).write.mode("overwrite").text(path)
 

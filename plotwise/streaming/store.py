@@ -49,3 +49,16 @@ def once_per_key(events: DataFrame, key: str, time: str, late: str = "10 minutes
 def windowed_counts(events: DataFrame, keys: list[str], time: str, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts of event-time windows, late rows included up to the watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, length, slide or length).alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def change_feed(log: DataFrame, key: str, op: str, mutations: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Tells what mutations touched: under `path` one folder a micro-batch with key, changes (how many) and last_op by `seq`.
+
+    Reads and other messages give nothing. A batch that runs again writes its folder again, so each change is
+    told once however often the stream is restarted.
+    """
+    def tell(batch: DataFrame, number: int) -> None:
+        touched = batch.where(F.col(op).isin(*mutations)).groupBy(key).agg(F.count("*").alias("changes"), F.max_by(op, "seq").alias("last_op"))
+        touched.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return log.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).start()

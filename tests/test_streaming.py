@@ -36,3 +36,23 @@ def test_debounce_and_windows(spark, tmp_path):
     q.stop()
     assert sorted(r.n for r in spark.sql("select n from minutes").collect()) == [1, 3]
     assert spark.table("minutes").where(F.col("n") == 3).first().start == DAY
+
+
+def test_change_feed_tells_mutations_once(spark, tmp_path):
+    schema = "listing int, seq int, op string"
+    for _ in range(2):
+        log = _source(spark, tmp_path, [[(1, 1, "save"), (2, 2, "read")], [(1, 3, "label"), (1, 4, "delete"), (3, 5, "save")]], schema) if not (tmp_path / "in").exists() else spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = store.change_feed(log, "listing", "op", ["save", "label", "delete"], str(tmp_path / "out"), str(tmp_path / "check"))
+        q.processAllAvailable()
+        q.stop()
+    got = sorted((r.listing, r.changes, r.last_op) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 1, "save"), (1, 2, "delete"), (3, 1, "save")]
+
+
+def test_only_the_first_event_of_a_key_counts(spark, tmp_path):
+    schema = "k int, ts timestamp"
+    rows = [(1, DAY), (1, DAY + dt.timedelta(seconds=5)), (2, DAY)]
+    q = store.once_per_key(_source(spark, tmp_path, [rows], schema), "k", "ts").writeStream.format("memory").queryName("firsts").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.k for r in spark.table("firsts").collect()) == [1, 2]
