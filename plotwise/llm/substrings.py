@@ -33,9 +33,11 @@ _LEAST_OF = 24
 UNIT_WORDS = 20
 #: Buckets that a partition takes one after another, so that it holds an eighth of its digests at a time.
 _FINE = 8
+#: A block with fewer digests than this for each message sends several buckets of a partition in one.
+_FEW = 256
 
 _FLAGS = "block long, doc binary, place binary, sizes binary, ids array<long>, marks array<long>"
-_MESSAGE = "bucket int, digest binary, who binary, " + _FLAGS
+_MESSAGE = "bucket int, span int, digest binary, who binary, " + _FLAGS
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -166,7 +168,7 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return a[new] >> 32, a[new] & 0xFFFFFFFF, b[last] & 0xFFFFFFFF
 
 
-_HEAD = [("bucket", pa.int32()), ("digest", pa.binary()), ("who", pa.binary())]
+_HEAD = [("bucket", pa.int32()), ("span", pa.int32()), ("digest", pa.binary()), ("who", pa.binary())]
 _FLAG_FIELDS = [("block", pa.int64()), *[(c, pa.binary()) for c in ("doc", "place", "sizes")], ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))]
 _ARROW, _FLAG_ARROW = pa.schema(_HEAD + _FLAG_FIELDS), pa.schema(_FLAG_FIELDS)
 
@@ -182,7 +184,10 @@ def flagged(rows: DataFrame, find: Callable, earlier: bool) -> DataFrame:
     group. A block's own list of documents goes with it to a partition of its number.
     """
     n_parts = partitions(rows.sparkSession)
-    n_buckets = n_parts * _FINE
+
+    def bucket_of(digests: np.ndarray) -> np.ndarray:
+        """A partition's buckets follow one another."""
+        return ((digests % U64(n_parts)) * U64(_FINE) + (digests // U64(n_parts)) % U64(_FINE)).astype(np.int64)
 
     def cut(it) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -196,22 +201,25 @@ def flagged(rows: DataFrame, find: Callable, earlier: bool) -> DataFrame:
                 again, leads = later(digests, own[doc], place)
                 again = again if earlier else twice(digests)
                 order = np.flatnonzero(leads)
-                bucket = (digests[order] % U64(n_buckets)).astype(np.int64)
+                bucket = bucket_of(digests[order])
                 by = np.argsort(bucket, kind="stable")
                 order, bucket = order[by], bucket[by]
-                edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                span = 1
+                while span < _FINE and len(order) * span < n_parts * _FINE * _FEW:
+                    span *= 2
+                starts = np.flatnonzero(np.diff(bucket // span, prepend=-1))
                 out = []
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    part = order[edges[k] : edges[k + 1]]
-                    out.append({"bucket": k, "block": number, "digest": digests[part].tobytes(), "who": _planes(own[doc[part]].astype("<i8")) if earlier else None, "doc": _planes(np.diff(doc[part], prepend=0).astype("<u4")), "place": _planes(place[part].astype("<u4")), "sizes": size[part].astype("<u2").tobytes()})
+                for i, j in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+                    part = order[i:j]
+                    out.append({"bucket": int(bucket[i]) // span * span, "span": span, "block": number, "digest": digests[part].tobytes(), "who": _planes(own[doc[part]].astype("<i8")) if earlier else None, "doc": _planes(np.diff(doc[part], prepend=0).astype("<u4")), "place": _planes(place[part].astype("<u4")), "sizes": size[part].astype("<u2").tobytes()})
                 d, a, b = merged(doc[again], place[again], place[again] + size[again])
-                out.append({"bucket": -1 - int(mix(np.array([number], U64))[0] % U64(n_buckets)), "block": number, "doc": d.astype("<u4").tobytes(), "place": a.astype("<u4").tobytes(), "sizes": (b - a).astype("<u4").tobytes(), "ids": own.tolist(), "marks": marks.take(pa.array(block.rows)).to_pylist()})
+                out.append({"bucket": -1 - int(mix(np.array([number], U64))[0] % U64(n_parts)), "span": 1, "block": number, "doc": d.astype("<u4").tobytes(), "place": a.astype("<u4").tobytes(), "sizes": (b - a).astype("<u4").tobytes(), "ids": own.tolist(), "marks": marks.take(pa.array(block.rows)).to_pylist()})
                 number += 1
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
         give_back()
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
-        """Flags of one bucket."""
+        """Flags of one bucket: (block, digests, ids, documents, places, sizes) of each message."""
         digests, at, out = np.concatenate([h[1] for h in held]), 0, []
         flag = later(digests, *(np.concatenate([h[k] for h in held]) for k in (2, 4)))[0] if earlier else twice(digests)
         for block, d, _, local, place, size in held:
@@ -221,23 +229,34 @@ def flagged(rows: DataFrame, find: Callable, earlier: bool) -> DataFrame:
                 out.append({"block": block, "doc": local[own].tobytes(), "place": place[own].tobytes(), "sizes": size[own].astype("<u4").tobytes()})
         return pa.RecordBatch.from_pylist(out, schema=_FLAG_ARROW)
 
+    def settled(held: list, now: int, upto: int) -> Iterator[pa.RecordBatch]:
+        """Settles the buckets from `now` up to another, and drops messages that are through."""
+        while held and now < upto:
+            part = []
+            for message, first, edges in held:
+                if 0 <= now - first < len(edges) - 1 and edges[now - first] < edges[now - first + 1]:
+                    own = slice(edges[now - first], edges[now - first + 1])
+                    part.append((message[0], *[x if x is None else x[own] for x in message[1:]]))
+            if part:
+                yield settle(part)
+            now += 1
+            held[:] = [h for h in held if h[1] + len(h[2]) - 1 > now]
+
     def meet(it) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        bucket = None
+        held: list[tuple] = []  # a message, its first bucket, and where each of its buckets begins
+        now = 0
         for b in it:
             for i in range(b.num_rows):
                 row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
-                if row["bucket"] != bucket and held:
-                    yield settle(held)
-                    held = []
-                bucket = row["bucket"]
-                if bucket < 0:
+                if row["bucket"] < 0:
                     yield pa.RecordBatch.from_pylist([{k: row[k] for k in _FLAG_ARROW.names}], schema=_FLAG_ARROW)
                     continue
-                who = None if row["who"] is None else _numbers(row["who"], "<i8")
-                held.append((row["block"], np.frombuffer(row["digest"], U64), who, np.cumsum(_numbers(row["doc"], "<u4"), dtype=np.uint32), _numbers(row["place"], "<u4"), np.frombuffer(row["sizes"], "<u2")))
-        if held:
-            yield settle(held)
+                yield from settled(held, now, row["bucket"])
+                now = row["bucket"]
+                digests = np.frombuffer(row["digest"], U64)
+                message = (row["block"], digests, None if row["who"] is None else _numbers(row["who"], "<i8"), np.cumsum(_numbers(row["doc"], "<u4"), dtype=np.uint32), _numbers(row["place"], "<u4"), np.frombuffer(row["sizes"], "<u2"))
+                held.append((message, now, np.searchsorted(bucket_of(digests), np.arange(now, now + row["span"] + 1))))
+        yield from settled(held, now, now + _FINE)
         give_back()
 
     def decide(key, table):
@@ -252,7 +271,7 @@ def flagged(rows: DataFrame, find: Callable, earlier: bool) -> DataFrame:
         out = {"doc_id": [head["ids"][d] for d in found], "mark": [head["marks"][d] for d in found], "spans": [x.ravel().tolist() for x in spans[: len(found)]]}
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("spans", pa.list_(pa.int64()))]))
 
-    part_of = F.when(F.col("bucket") >= 0, F.pmod("bucket", F.lit(n_parts))).otherwise(F.pmod(-1 - F.col("bucket"), F.lit(n_parts))).cast("int")
+    part_of = F.when(F.col("bucket") >= 0, F.floor(F.col("bucket") / _FINE)).otherwise(-1 - F.col("bucket")).cast("int")
     sent = rows.select("doc_id", "mark", "text", "ranges").mapInArrow(cut, _MESSAGE).repartitionById(n_parts, part_of).sortWithinPartitions("bucket")
     found = sent.mapInArrow(meet, _FLAGS).groupBy("block").applyInArrow(decide, "doc_id long, mark long, spans array<long>")
     return found.dropDuplicates(["doc_id", "mark"])  # rows of one id and text have the same ranges
