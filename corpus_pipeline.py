@@ -7,7 +7,8 @@
     packing                  what is left becomes sequences of power-of-two length
 
 ``run`` writes every stage's result to the shared folder and reads it again, so that a lost executor costs
-one stage's tasks at most.
+one stage's tasks at most. An empty table gives an empty one at every stage; further columns, whatever their names,
+pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ def _bounded(stage):
 
 @_bounded
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored toxic; the machine learns from the labelled documents among those given."""
+    """Drops documents scored toxic; the machine learns from the labelled documents among those given. Null and empty texts, null ids and repeated rows are scored like any other."""
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 @_bounded
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of near copies; rows without an id stay."""
+    """Keeps the smallest id of each class of near copies, all its rows; rows without an id, a text or a word stay."""
     dropped = written(near_copies(docs, n=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
@@ -54,13 +55,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_bounded
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which ten consecutive words of a benchmark item occur."""
+    """Drops documents in which ten consecutive words of a benchmark item occur; null and empty texts stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, remove="documents")
 
 
 @_bounded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of binary length, at most 2048 tokens."""
+    """One row a piece of binary length, at most 2048 tokens; a null or empty text is the end id alone."""
     return pack_powers_of_two(docs, vocabulary(), end_id=1, longest=2048)
 
 
@@ -72,7 +73,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL has no string-kernel machine, so no statement gives run()'s rows; tests/llm holds a brute-force version.
+#: SQL has no string-kernel machine, so no statement gives run()'s rows; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 

@@ -629,6 +629,99 @@ def test_quality_odd_rows(spark, odd):
 # ---- the pipeline
 
 
+def brute_cuts(texts):
+    """What is left of each text, in words, when every word of a window of 20 that stands earlier goes."""
+    seen, out = set(), {}
+    for k in sorted(texts):
+        block = next(textkit.blocks(pa.array([texts[k] or ""])))
+        starts, ends, _, _ = substrings.pieces(block)
+        words = [block.data[a:b].tobytes() for a, b in zip(starts, ends)]
+        gone = set()
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            gone |= set(range(i, i + 20)) if window in seen else set()
+            seen.add(window)
+        if not words or len(gone) < len(words):
+            raw, at, kept = texts[k].encode(), 0, []
+            for i in sorted(gone):
+                kept.append(raw[at : starts[i]] if i - 1 not in gone else b"")
+                at = int(ends[i])
+            out[k] = (b"".join(kept) + raw[at:]).decode().split()
+    return out
+
+
+def test_empty_tables(spark, docs, odd):
+    none, labels = odd.where("false"), spark.read.parquet(f"{SF}/labels.parquet")
+    for column in ("toxic", "quality"):
+        fitted = (toxicity if column == "toxic" else quality).train(none, labels.where("false"))
+        rows = (toxicity.score_toxicity if column == "toxic" else quality.score_quality)(odd, fitted).collect()
+        assert len(rows) == len(ODD) + 2 and len({round(r.score, 9) for r in rows}) >= 1
+    empty = [
+        toxicity.score_toxicity(none, fitted_toxic(spark)), frames.read_frames(frames.write_frames(none, PATH)), token_counts.token_counts(none, PATH), packing.pack_powers_of_two(none, PATH),
+        telephony.decode_media(telephony.media_table(none), with_pcm=True), decontamination.overlaps(none, spark.read.parquet(f"{SF}/benchmark.parquet")),
+        html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")), near_copies.near_copies(none), substrings.drop_repeats(none),
+    ]
+    assert [df.count() for df in empty] == [0] * len(empty)
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.where("false"), SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
+def fitted_toxic(spark):
+    return toxicity.fit([["a"], ["b"]], np.array([0, 0]), np.array([False, True]))
+
+
+def test_frames_of_wanted_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 5)) for i in range(0, 200, 2)], "doc_id long, text string")
+    manifest = frames.write_frames(docs, PATH, f"file://{tmp_path}/f", frame_ids=64, files=7)
+    every = {r.doc_id: tuple(r) for r in frames.read_frames(manifest).collect()}
+    wanted = spark.createDataFrame([(0,), (0,), (7,), (50,), (198,), (-3,), (999,), (None,)], "doc_id long")
+    assert {tuple(r) for r in frames.read_frames(manifest, wanted=wanted).collect()} == {every[k] for k in (0, 50, 198)}
+
+
+def test_sequences_of_a_bucket_follow_one_another(spark, docs, tmp_path):
+    rows = packing.pack_powers_of_two(docs, PATH, longest=256)
+    ids = sorted((r.sequence_id, r.length) for r in rows.collect())
+    assert [k for k, _ in ids] == list(range(len(ids))) and [n for _, n in ids] == sorted((n for _, n in ids), reverse=True)
+    packing.write_buckets(rows, str(tmp_path / "b"), files=2)
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == len(ids) and back.where("length = 256").count() == sum(n == 256 for _, n in ids)
+
+
+def test_pool_sums_are_those_of_arrays(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    views = [next(quality._views(pa.array([r.text]), pa.array([r.lang]), pa.array([r.source]), pa.array([float(r.n_chars)]))) for r in docs.collect()]
+    text, meta = (np.concatenate([v[k] for v in views]).astype(np.float16).astype(np.float32) for k in (1, 2))
+    rng = np.random.default_rng(0)
+    fitted = [rng.normal(size=x.shape[1] + 1) * 3 for x in (text, meta)]
+    ids = docs.select("doc_id").toPandas()["doc_id"].to_numpy()
+    table = spark.createDataFrame([(int(i), bytearray(a.astype(np.float16).tobytes()), bytearray(b.astype(np.float16).tobytes())) for i, a, b in zip(ids, text, meta)], quality._ROW).repartition(3)
+    for left_out in ([], ids[:20]):
+        keep = ~np.isin(ids, left_out)
+        one, two = quality.TablePool(table, np.array(left_out, np.int64)), quality.ArrayPool(text[keep], meta[keep])
+        assert (one.counts(fitted) == two.counts(fitted)).all()
+        cuts = [quality._sure(c, 0.2 * keep.sum(), 0.7) for c in two.counts(fitted)]
+        for (n, a), (m, b) in zip(one.sums(fitted, cuts), two.sums(fitted, cuts)):
+            assert n == m and np.allclose(a, b)
+
+
+def test_labels_that_disagree_are_not_learnt_from(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    torn = labels.unionByName(labels.select("doc_id", (1 - F.col("quality")).alias("quality"), (1 - F.col("toxic")).alias("toxic")))
+    assert np.ptp(toxicity.train(docs, torn).weight) == 0
+    assert not quality.train(docs, torn).text.any()
+
+
+def test_toxic_margins_count():
+    model = toxicity.Model(np.zeros(1, np.float32), 0.0, (-2.0, 0.5, 0.2, 3.0))
+    seen = toxicity.summed(np.array([-1.0, 0.5, 0.25, -2.0]), np.array([0, 2, 2, 4]))
+    assert seen.tolist() == [[0.5, -1.0, 1.0], [toxicity.NOTHING] * 2 + [0.0], [0.25, -2.0, 0.5]]
+    scores = model.scores(seen)
+    assert scores[1] < scores[2] < scores[0]
+
+
 def test_pipeline_stages_take_effect(spark, docs, odd, tmp_path):
     import corpus_pipeline
 
@@ -639,6 +732,12 @@ def test_pipeline_stages_take_effect(spark, docs, odd, tmp_path):
         if name == "n-gram Jaccard join":
             low = brute_components(brute_sets({r.doc_id: r.text for r in now.collect()}, 5), 80)
             assert {r.doc_id for r in out.collect()} == {k for k, v in low.items() if k == v}
+        if name == "toxicity":  # one document at a time
+            model = toxicity.train(now, spark.read.parquet(f"{SF}/labels.parquet"))
+            score = lambda t: model.scores(toxicity.Scorer(model).look(next(textkit.blocks(pa.array([t or ""])))))[0]
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in now.collect() if score(r.text) < 0.5}
+        if name == "substring dedup":
+            assert {r.doc_id: r.text.split() for r in out.collect()} == brute_cuts({r.doc_id: r.text for r in now.collect()})
         if name == "benchmark decontamination":
             bad = decontamination.overlaps(now, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated")
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in now.collect()} - {r.doc_id for r in bad.collect()}
