@@ -183,3 +183,74 @@ def inside_ring(points: DataFrame, edges: DataFrame, key: str, ident: str, epsil
     """
     both = points.join(edges, key).where(((F.col("by") > F.col("y")) != (F.col("ay") > F.col("y"))) & (F.col("x") < (F.col("ax") - F.col("bx")) * (F.col("y") - F.col("by")) / ((F.col("ay") - F.col("by")) + epsilon) + F.col("bx")))
     return both.groupBy(key, ident).agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(key, ident)
+
+
+# ---- roles of pixels and sides of rooms --------------------------------------------------------------------
+
+SIDES = ("x_min", "x_max", "y_min", "y_max")
+#: Distances in metres, least points and confidence of sides that a seam or the support shows (fixed values).
+NEAR_SEAM, LEAST_SEAM, FAR_FROM_SUPPORT, OUTSIDE, INFERRED = 0.25, 20, 0.60, 0.15, 0.38
+
+
+def pixel_role(cls: Column, up: Column, floor: int, wall: int, furniture: tuple[int, ...]) -> Column:
+    """floor, wall or furniture by class and by how far the normal points along the floor's (`up`, its product with it); null for neither."""
+    return F.when((cls == floor) & (F.abs(up) > 0.70), "floor").when((cls == wall) & (F.abs(up) < 0.40), "wall").when(cls.isin(*furniture), "furniture")
+
+
+def in_height_band(role: Column, height: Column) -> Column:
+    """Whether a pixel's height above the floor suits its role: walls 0.25 to 3.20 m, furniture -0.05 to 2.20 m, ends left out; floors at any height."""
+    inside = lambda low, high: (height > low) & (height < high)
+    return F.when(role == "wall", inside(0.25, 3.20)).when(role == "furniture", inside(-0.05, 2.20)).otherwise(role == "floor")
+
+
+def finite_depth(rows: DataFrame, columns: tuple[str, str, str] = ("x", "y", "z"), far: float = 30.0) -> DataFrame:
+    """Rows of finite points whose depth is between 0.10 m and `far` (30 to fuse views, 40 to match them)."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in columns]
+    return rows.where(finite[0] & finite[1] & finite[2] & F.col(columns[2]).between(0.10, far))
+
+
+def camera_side(planes: DataFrame) -> DataFrame:
+    """Planes (px, py, pz, d, normal of any length) as unit planes with the camera, at the origin, on the positive side; adds camera_height."""
+    size = F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2)
+    sign = F.when(F.col("d") < 0, -1.0).otherwise(1.0) / size
+    kept = [c for c in planes.columns if c not in ("px", "py", "pz", "d")]
+    return planes.where(size > 0).select(*kept, *[(F.col(c) * sign).alias(c) for c in ("px", "py", "pz", "d")], (F.abs("d") / size).alias("camera_height"))
+
+
+def support_extents(support: DataFrame, key: str, trim: float = 0.01) -> DataFrame:
+    """key, side, extent, across_low, across_high: where each group's support (x, y) ends on every side, a hundredth at either end left out."""
+    ends = support.groupBy(key).agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in "xy" for n, q in (("min", trim), ("max", 1 - trim))])
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("extent"), *[F.col(f"{'y' if s[0] == 'x' else 'x'}_{n}").alias(f"across_{a}") for n, a in (("min", "low"), ("max", "high"))]) for s in SIDES]))
+    return ends.select(key, rows.alias("s")).select(key, "s.*")
+
+
+def side_violations(sides: DataFrame, support: DataFrame, key: str) -> DataFrame:
+    """Sides (key, side, at) with `violation`, the share of their group's support beyond them by more than 15 cm."""
+    out = beyond_side(F.col("side"), F.col("x"), F.col("y"), F.col("at"), OUTSIDE)
+    shares = fraction(sides.select(key, "side", "at").join(support.select(key, "x", "y"), key), [key, "side"], out, "violation")
+    return sides.join(shares, [key, "side"])
+
+
+def seam_sides(seams: DataFrame, support: DataFrame, key: str) -> DataFrame:
+    """Sides that seams alone show: key, side, at, span, seam_points, violation, confidence.
+
+    A side is where the outermost hundredth of a group's seam points (x, y) begins. It needs 20 seam points within
+    25 cm that reach 25 cm along it, the support's end within 60 cm, and at most 3 % of the support beyond it.
+    """
+    enough = seams.join(seams.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_SEAM), key, "left_semi")
+    ends = support_extents(enough, key).select(key, "side", F.col("extent").alias("at"))
+    across_x = F.col("side").startswith("x")
+    near = ends.join(enough.select(key, "x", "y"), key).where(F.abs(F.when(across_x, F.col("x")).otherwise(F.col("y")) - F.col("at")) < NEAR_SEAM)
+    along = F.when(across_x, F.col("y")).otherwise(F.col("x"))
+    spans = near.withColumn("_t", along).groupBy(key, "side", "at").agg(F.count("*").alias("seam_points"), (F.percentile("_t", F.lit(0.95)) - F.percentile("_t", F.lit(0.05))).alias("span"))
+    held = spans.where((F.col("seam_points") >= LEAST_SEAM) & (F.col("span") >= 0.25)).join(support_extents(support, key).select(key, "side", "extent"), [key, "side"])
+    held = side_violations(held.where(F.abs(F.col("at") - F.col("extent")) <= FAR_FROM_SUPPORT), support, key).where(F.col("violation") <= LAYOUT["violation"])
+    return held.select(key, "side", "at", "span", "seam_points", "violation", seam_confidence(F.col("seam_points"), F.col("span"), F.col("violation")).alias("confidence"))
+
+
+def infer_missing_side(sides: DataFrame, support: DataFrame, key: str) -> DataFrame:
+    """Sides (key, side, at, span, confidence) and, for groups with exactly three, the fourth at the end of the support, marked `inferred`."""
+    three = sides.groupBy(key).agg(F.count("*").alias("_n"), F.collect_set("side").alias("_have")).where("_n = 3")
+    missing = support_extents(support, key).join(three, key).where(~F.array_contains(F.col("_have"), F.col("side")))
+    new = missing.select(key, "side", F.col("extent").alias("at"), (F.col("across_high") - F.col("across_low")).alias("span"), F.lit(INFERRED).alias("confidence"), F.lit(True).alias("inferred"))
+    return sides.select(key, "side", "at", "span", "confidence", F.lit(False).alias("inferred")).unionByName(new)

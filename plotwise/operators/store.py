@@ -82,3 +82,13 @@ def positions_by_hash(photos: DataFrame, thumbnails: DataFrame, photo_url: str,
     """Photos with the position of the thumbnail whose link has the same base: the smallest of several, null where none has it."""
     base = thumbnails.select(photo_base_hash(F.col(thumb_url)).alias("_base"), "position").where("_base is not null").groupBy("_base").agg(F.min("position").alias("position"))
     return photos.withColumn("_base", photo_base_hash(F.col(photo_url))).join(base, "_base", "left").drop("_base")
+
+
+def save_photos(base: DataFrame, saved: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Photos after saves: one that is there gets the new label alone, an empty one too; others are added without an estimate.
+
+    Of several saves of one photo the last by `order` counts.
+    """
+    last = saved.groupBy(*keys).agg(F.max_by(F.trim(F.coalesce("label", F.lit(""))), order).alias("_label"))
+    rest = [c for c in base.columns if c not in (*keys, "label")]
+    return base.join(last, keys, "full").select(*keys, F.coalesce("_label", "label").alias("label"), *rest)

@@ -393,3 +393,76 @@ def align_points(spark, sf_dir):
     pairs = _t(spark, sf_dir, "embeddings").select("label", x.alias("ax"), y.alias("ay"), z.alias("az"), (-2 * y + 1 + off).alias("bx"), (2 * x - 3).alias("by"), (2 * z + 0.5).alias("bz"))
     out = room.align_points(pairs, "label")
     return out.select("label", "n_inliers", *[numeric.half_up(F.col(c), 6).alias(c) for c in ("scale", "rmse")])
+
+
+# ---- roles, sides and saves -------------------------------------------------------------------------------
+
+
+@_query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS up, l_quantity / 10 - CAST(0.5 AS DOUBLE) AS h FROM lineitem),
+r AS (SELECT *, CASE WHEN l_linenumber = 3 AND abs(up) > CAST(0.7 AS DOUBLE) THEN 'floor' WHEN l_linenumber = 1 AND abs(up) < CAST(0.4 AS DOUBLE) THEN 'wall' WHEN l_linenumber IN (5, 7) THEN 'furniture' END AS role FROM p)
+SELECT l_orderkey, l_linenumber, role FROM r WHERE role = 'floor' OR role = 'wall' AND h > CAST(0.25 AS DOUBLE) AND h < CAST(3.2 AS DOUBLE) OR role = 'furniture' AND h > CAST(-0.05 AS DOUBLE) AND h < CAST(2.2 AS DOUBLE)""")
+def pixel_roles(spark, sf_dir):
+    """Pixels by role, those at a height that suits it."""
+    rows = _t(spark, sf_dir, "lineitem").withColumn("role", estimates.pixel_role(F.col("l_linenumber"), F.col("l_discount") * 10, 3, 1, (5, 7)))
+    return rows.where(estimates.in_height_band(F.col("role"), F.col("l_quantity") / 10 - 0.5)).select("l_orderkey", "l_linenumber", "role")
+
+
+@_query("SELECT l_orderkey, l_linenumber, z FROM (SELECT *, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity - 5 END AS z FROM lineitem) WHERE z BETWEEN CAST(0.1 AS DOUBLE) AND CAST(40 AS DOUBLE) AND l_linenumber <> 4")
+def depth_band(spark, sf_dir):
+    """Finite points within matching depth; one line number has no depth, another no finite x."""
+    z, x = F.when(F.col("l_linenumber") != 2, F.col("l_quantity") - 5), F.when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), F.col("l_discount").alias("y"), z.alias("z"))
+    return estimates.finite_depth(rows, far=40.0).select("l_orderkey", "l_linenumber", "z")
+
+
+@_query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_tax + 1 AS px, l_discount AS py, CAST(l_linenumber AS DOUBLE) AS pz, l_quantity - 25 AS d FROM lineitem), n AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS s FROM p)
+SELECT l_orderkey, l_linenumber, {_half_up("CASE WHEN d < 0 THEN -px ELSE px END / s", 9)} AS px, {_half_up("abs(d) / s", 9)} AS camera_height FROM n""")
+def camera_side(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_tax") + 1).alias("px"), F.col("l_discount").alias("py"), F.col("l_linenumber").cast("double").alias("pz"), (F.col("l_quantity") - 25).alias("d"))
+    return estimates.camera_side(rows).select("l_orderkey", "l_linenumber", *[numeric.half_up(F.col(c), 9).alias(c) for c in ("px", "camera_height")])
+
+
+def _support(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("photo"), (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 30000).alias("y"))
+
+
+_ENDS = "quantile_cont(x, 0.01) AS x_min, quantile_cont(x, 0.99) AS x_max, quantile_cont(y, 0.01) AS y_min, quantile_cont(y, 0.99) AS y_max"
+_SEAM_SQL = f"""sup AS (SELECT l_suppkey % 20 AS photo, l_quantity / 10 AS x, l_extendedprice / 30000 AS y FROM lineitem), seam AS (SELECT * FROM sup WHERE x < CAST(0.45 AS DOUBLE) OR y > CAST(2.9 AS DOUBLE)),
+se AS (SELECT photo, {_ENDS} FROM seam GROUP BY photo HAVING count(*) >= 20), su AS (SELECT photo, {_ENDS} FROM sup GROUP BY photo),
+en AS (UNPIVOT se ON x_min, x_max, y_min, y_max INTO NAME side VALUE pos), ex AS (UNPIVOT su ON x_min, x_max, y_min, y_max INTO NAME side VALUE extent),
+nr AS (SELECT photo, side, pos, CASE WHEN side LIKE 'x%' THEN y ELSE x END AS t FROM en JOIN seam USING (photo) WHERE abs(CASE WHEN side LIKE 'x%' THEN x ELSE y END - pos) < CAST(0.25 AS DOUBLE)),
+sp AS (SELECT photo, side, pos, count(*) AS seam_points, quantile_cont(t, 0.95) - quantile_cont(t, 0.05) AS span FROM nr GROUP BY ALL HAVING count(*) >= 20),
+vi AS (SELECT photo, side, CAST(count(*) FILTER (WHERE CASE side WHEN 'x_min' THEN x < pos - CAST(0.15 AS DOUBLE) WHEN 'x_max' THEN x > pos + CAST(0.15 AS DOUBLE) WHEN 'y_min' THEN y < pos - CAST(0.15 AS DOUBLE) ELSE y > pos + CAST(0.15 AS DOUBLE) END) AS DOUBLE) / count(*) AS violation FROM sp JOIN sup USING (photo) GROUP BY ALL)"""
+
+
+@_query(f"""WITH {_SEAM_SQL} SELECT photo, side, seam_points, {_half_up("pos", 6)} AS at, {_half_up("span", 6)} AS span, {_half_up("violation", 6)} AS violation
+FROM sp JOIN ex USING (photo, side) JOIN vi USING (photo, side) WHERE span >= CAST(0.25 AS DOUBLE) AND abs(pos - extent) <= CAST(0.6 AS DOUBLE) AND violation <= CAST(0.03 AS DOUBLE)""")
+def seam_sides(spark, sf_dir):
+    """Sides of rooms that only seams show."""
+    support = _support(spark, sf_dir)
+    out = estimates.seam_sides(support.where("x < 0.45d or y > 2.9d"), support, "photo")
+    return out.select("photo", "side", "seam_points", *[numeric.half_up(F.col(c), 6).alias(c) for c in ("at", "span", "violation")])
+
+
+@_query(f"""WITH sup AS (SELECT l_suppkey % 20 AS photo, l_quantity / 10 AS x, l_extendedprice / 30000 AS y FROM lineitem), su AS (SELECT photo, {_ENDS} FROM sup GROUP BY photo),
+ex AS (UNPIVOT su ON x_min, x_max, y_min, y_max INTO NAME side VALUE extent)
+SELECT photo, side, 1.0::DOUBLE AS at, false AS inferred FROM ex WHERE side <> CASE photo % 4 WHEN 0 THEN 'x_min' WHEN 1 THEN 'y_max' ELSE '' END AND NOT (photo % 4 = 3 AND side LIKE 'x%')
+UNION ALL SELECT photo, side, {_half_up("extent", 6)}, true FROM ex WHERE side = CASE photo % 4 WHEN 0 THEN 'x_min' WHEN 1 THEN 'y_max' ELSE '' END""")
+def inferred_sides(spark, sf_dir):
+    """The fourth side of rooms with three: the end of their support."""
+    support = _support(spark, sf_dir)
+    every = estimates.support_extents(support, "photo").select("photo", "side", F.lit(1.0).alias("at"), F.lit(1.0).alias("span"), F.lit(0.9).alias("confidence"))
+    left_out = F.when(F.col("photo") % 4 == 0, "x_min").when(F.col("photo") % 4 == 1, "y_max").otherwise("")
+    known = every.where((F.col("side") != left_out) & ~((F.col("photo") % 4 == 3) & F.col("side").startswith("x")))
+    out = estimates.infer_missing_side(known, support, "photo")
+    return out.select("photo", "side", numeric.half_up(F.col("at"), 6).alias("at"), "inferred")
+
+
+@_query("""WITH s AS (SELECT user_id AS c_custkey, arg_max(CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END, event_id) AS label FROM events GROUP BY user_id)
+SELECT coalesce(c.c_custkey, s.c_custkey) AS c_custkey, coalesce(s.label, c_mktsegment) AS label, c_acctbal FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN s ON c.c_custkey = s.c_custkey""")
+def save_photos(spark, sf_dir):
+    """Saves: labels of photos that are there change, others are added."""
+    base_rows = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_mktsegment").alias("label"), "c_acctbal")
+    label = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit(" "), "event_type", F.lit(" ")))
+    saved = _t(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), label.alias("label"), F.col("event_id").alias("seq"))
+    return store.save_photos(base_rows, saved, ["c_custkey"], "seq")
