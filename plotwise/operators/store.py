@@ -6,7 +6,7 @@ prefix of the log is a plain aggregation by key, so batches and streams share th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import photo_base_hash
@@ -72,10 +72,20 @@ def history(listings: DataFrame, photos: DataFrame, key: str) -> DataFrame:
     return listings.join(sums, key, "left").fillna(0, ["n_photos", "n_analyzed"]).orderBy(F.desc("updated_at"), key)
 
 
+def placed_first(position: str = "position") -> Column:
+    """Order of photos: by position, unplaced ones (0 among them) last."""
+    return F.when(F.coalesce(F.col(position), F.lit(0)) != 0, F.col(position)).asc_nulls_last()
+
+
 def annotate(photos: DataFrame, positions: DataFrame, key: str = "photo_url") -> DataFrame:
     """Photos with their positions, unplaced ones (0 among them) last."""
-    placed = photos.join(positions, key, "left")
-    return placed.orderBy(F.when(F.coalesce("position", F.lit(0)) == 0, None).otherwise(F.col("position")).asc_nulls_last(), key)
+    return photos.join(positions, key, "left").orderBy(placed_first(), key)
+
+
+def carousel_places(photos: DataFrame, positions: DataFrame, listing: str, key: str) -> DataFrame:
+    """Photos with `place`, from 1 within their listing, in the order of annotate(); a window holds one listing's photos."""
+    by = Window.partitionBy(listing).orderBy(placed_first(), key)
+    return photos.join(positions, key, "left").withColumn("place", F.row_number().over(by).cast("long"))
 
 
 def positions_by_hash(photos: DataFrame, thumbnails: DataFrame, photo_url: str, thumb_url: str) -> DataFrame:

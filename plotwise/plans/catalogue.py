@@ -413,14 +413,12 @@ def position_labels(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").withColumn("p", text.position_label(label)).select("conv_id", "turn", "p.position", "p.total")
 
 
-@_query("SELECT page_id, url, row_number() OVER (ORDER BY CASE WHEN page_id % 7 = 0 THEN NULL ELSE page_id % 7 END NULLS LAST, url, page_id) AS place FROM pages")
+@_query("SELECT page_id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY CASE WHEN page_id % 7 = 0 THEN NULL ELSE page_id % 7 END NULLS LAST, page_id) AS place FROM pages")
 def position_join(spark, sf_dir):
-    """Photos in carousel order: unplaced ones, position 0 among them, last."""
-    pages = _t(spark, sf_dir, "pages")
-    photos = pages.select("page_id", F.col("url").alias("photo_url"))
+    """Photos in the carousel order of their listing: unplaced ones, position 0 among them, last."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 10).alias("listing"))
     positions = pages.where("page_id % 2 = 0 or page_id % 7 <> 0").select("page_id", (F.col("page_id") % 7).alias("position"))
-    placed = photos.join(positions, "page_id", "left").withColumn("position", F.when(F.coalesce("position", F.lit(0)) != 0, F.col("position")))
-    return placed.select("page_id", F.col("photo_url").alias("url"), F.row_number().over(Window.orderBy(F.asc_nulls_last("position"), "photo_url", "page_id")).cast("long").alias("place"))
+    return store.carousel_places(pages, positions, "listing", "page_id").select("page_id", "place")
 
 
 @_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice >= 1000 THEN regexp_replace(reverse(regexp_replace(reverse(CAST(CAST(floor(l_extendedprice + 0.5::DOUBLE) AS BIGINT) AS VARCHAR)), '(\\d{3})(?=\\d)', '\\1,', 'g')), '^,', '') ELSE printf('%.1f', floor(l_extendedprice * 10::DOUBLE + 0.5::DOUBLE) / 10::DOUBLE) END AS shown FROM lineitem".replace("(\\d{3})(?=\\d)", "(\\d\\d\\d)"))
