@@ -24,7 +24,7 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """The k nearest rows of `right` for every row of `left` with equal keys, by Hamming distance of `bits`, ties by id.
+    """The k nearest rows of `right` for every row of `left` with equal keys, by Hamming distance of `bits` (a long or an array of them), ties by id.
 
     Columns: keys, id, other, distance, rank. Both sides are cut into blocks of bounded size by a hash of the
     id; a task compares two blocks and keeps k a row, so what is shuffled after is k rows a row and block.
@@ -32,7 +32,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataF
     def blocks_of(df: DataFrame) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
 
-    left, right = (df.select(*[F.col(c).alias(c) for c in [*keys, "id", "bits"]]) for df in (left, right))
+    words = lambda df: F.array("bits") if dict(df.dtypes)["bits"] == "bigint" else F.col("bits")
+    left, right = (df.select(*keys, "id", words(df).alias("bits")) for df in (left, right))
     n_left, n_right = blocks_of(left).withColumnRenamed("_n", "_nl"), blocks_of(right).withColumnRenamed("_n", "_nr")
     sizes = n_left.join(n_right, keys)
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
