@@ -173,10 +173,15 @@ def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ri
     own = np.ones(len(positive)) if weights is None else weights
     c = np.concatenate([0.5 * own / max(1e-9, own.sum()), np.full(len(negative), 0.5 / max(1, len(negative)))])
     beta = np.zeros(x.shape[1])
-    for _ in range(20):  # Newton steps over the words inside the margin
-        inside = y * (x @ beta) < 1
-        a = x[inside] * c[inside, None]
-        new = np.linalg.solve(a.T @ x[inside] + ridge * np.eye(len(beta)), a.T @ y[inside])
+    for _ in range(20):  # Newton steps over the words inside the margin, some at a time: the driver holds them once
+        inside = np.flatnonzero(y * (x @ beta) < 1)
+        left, right = ridge * np.eye(len(beta)), np.zeros(len(beta))
+        for lo in range(0, len(inside), 1000):
+            part = inside[lo : lo + 1000]
+            a = x[part] * c[part, None]
+            left += a.T @ x[part]
+            right += a.T @ y[part]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, beta, atol=1e-7):
             break
         beta = new
@@ -186,12 +191,19 @@ def fit_words(positive: list[str], negative: list[str], landmarks: list[str], ri
     return Model(weight, float(beta[-1]))
 
 
-def fit(bags: list[list[str]], labels: np.ndarray, calibrate: np.ndarray, n_landmarks: int = 384, rounds: int = 3, least: float = 3.5, clean_weight: float = 1.0, seed: int = 7) -> Model:
-    """Learns from bags of words with labels; bags marked in `calibrate` only set the logistic."""
+def numbered(bags) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of all bags, and each bag as numbers of them: a word is one string however often it is said."""
+    column = bags if isinstance(bags, (pa.Array, pa.ChunkedArray)) else pa.array(bags, pa.list_(pa.string()))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    coded_ = column.flatten().dictionary_encode()
+    return coded_.dictionary.to_pylist(), np.split(coded_.indices.to_numpy().astype(np.int64), np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def fit(bags, labels: np.ndarray, calibrate: np.ndarray, n_landmarks: int = 384, rounds: int = 3, least: float = 3.5, clean_weight: float = 1.0, seed: int = 7) -> Model:
+    """Learns from bags of words with labels (lists, or an Arrow column of them); bags marked in `calibrate` only set the logistic."""
     rng, floor = np.random.default_rng(seed), -np.inf
-    vocabulary: dict[str, int] = {}
-    rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bag], np.int64) for bag in bags]
-    names = list(vocabulary)
+    names, rows = numbered(bags)
     learn = ~calibrate
     counts = np.zeros((2, len(names)))
     for row, label, own in zip(rows, labels, learn):
@@ -391,7 +403,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 1500, id_col: s
     calibrate = mix(ids.astype(np.int64).view(U64)) % U64(5) == 0
     shares = {r["k"]: r["count"] for r in learnt_from(labels, id_col).where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("int").alias("k")).count().collect()}
     weight = (shares.get(0, 1) / max(1, shares.get(1, 1))) / (max(1, (toxic == 0).sum()) / max(1, (toxic > 0).sum()))
-    return fit(table.column("words").to_pylist(), toxic, calibrate, clean_weight=max(1.0, weight) ** 0.5)
+    model = fit(table.column("words"), toxic, calibrate, clean_weight=max(1.0, weight) ** 0.5)
+    del table
+    give_back()
+    return model
 
 
 def score_toxicity(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
