@@ -121,14 +121,14 @@ def select_sides(candidates: DataFrame, keys: list[str], order: str) -> DataFram
 
 
 #: Gates of a completed layout (fixed values).
-LAYOUT = {"median": 0.07, "p95": 0.18, "camera_low": 0.5, "camera_high": 2.5, "support": 100, "frame": 0.40, "good_frame": 0.55, "violation": 0.03, "contain_low": 0.97, "contain_high": 0.97, "shrink": 0.95}
+LAYOUT = {"high": 0.70, "low": 0.50, "median": 0.07, "p95": 0.18, "camera_low": 0.5, "camera_high": 2.5, "support": 100, "frame": 0.40, "good_frame": 0.55, "violation": 0.03, "contain_low": 0.97, "contain_high": 0.97, "shrink": 0.95}
 
 
 def layout_reason(c: dict[str, Column], gate: Column, frame: float = LAYOUT["frame"]) -> Column:
     """Why a layout stays with the visible floor, the first reason in the order the steps meet them; null if none holds.
 
     Columns by name: residual_median, residual_p95, camera_height, n_support, n_lines, concentration, n_missing,
-    violation, containment, area, visible, n_real, confidence. `gate` is "ok" or a dimension's reason.
+    violation, containment, area, visible, n_real, confidence (of the layout as a whole). `gate` is "ok" or a dimension's reason.
     """
     checks = (
         (c["residual_median"].isNull(), "floor_fit_failed"),
@@ -144,10 +144,17 @@ def layout_reason(c: dict[str, Column], gate: Column, frame: float = LAYOUT["fra
         (c["containment"] < LAYOUT["contain_low"], "support_containment_too_low"),
         (c["area"] < c["visible"] * LAYOUT["shrink"], "completed_area_smaller_than_visible_floor"),
         (c["n_real"] < 3, "fewer_than_three_real_boundaries"),
+        (c["confidence"] < LAYOUT["low"], "confidence_too_low"),
     )
     return F.coalesce(*[F.when(test, F.lit(why) if isinstance(why, str) else why) for test, why in checks])
 
 
+def layout_status(reason: Column, confidence: Column, n_real: Column, n_inferred: Column, n_walls: Column, contain: Column, concentration: Column) -> Column:
+    """visible_only where a reason holds; completed with confidence, four seen sides, two of them walls, the support inside and a good frame; else low_confidence_completed."""
+    good = (confidence >= LAYOUT["high"]) & (n_inferred == 0) & (n_real == 4) & (n_walls >= 2) & (contain >= LAYOUT["contain_high"]) & (concentration >= LAYOUT["good_frame"])
+    return F.when(reason.isNotNull(), "visible_only").when(good, "completed").otherwise("low_confidence_completed")
+
+
 def layout_confidence(concentration: Column, contain: Column, n_real: Column, n_walls: Column, mean_confidence: Column, n_inferred: Column, cap: float = 0.58) -> Column:
     """The layout's confidence: frame 25 %, containment 25 %, sides 20 %, walls 15 %, the sides' own 15 %, less 20 % an inferred side, which also caps it."""
     unit = lambda x: clamp(x, 0.0, 1.0)
@@ -204,9 +211,9 @@ def in_height_band(role: Column, height: Column) -> Column:
 
 
 def finite_depth(rows: DataFrame, columns: tuple[str, str, str] = ("x", "y", "z"), far: float = 30.0) -> DataFrame:
-    """Rows of finite points whose depth is between 0.10 m and `far` (30 to fuse views, 40 to match them)."""
+    """Rows of finite points whose depth is between 0.10 m and `far` (30 to fuse views, 40 to match them), ends left out."""
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in columns]
-    return rows.where(finite[0] & finite[1] & finite[2] & F.col(columns[2]).between(0.10, far))
+    return rows.where(finite[0] & finite[1] & finite[2] & (F.col(columns[2]) > 0.10) & (F.col(columns[2]) < far))
 
 
 def camera_side(planes: DataFrame) -> DataFrame:
@@ -224,11 +231,12 @@ def support_extents(support: DataFrame, key: str, trim: float = 0.01) -> DataFra
     return ends.select(key, rows.alias("s")).select(key, "s.*")
 
 
-def side_violations(sides: DataFrame, support: DataFrame, key: str) -> DataFrame:
-    """Sides (key, side, at) with `violation`, the share of their group's support beyond them by more than 15 cm."""
+def side_violations(sides: DataFrame, support: DataFrame, key: str, also: list[str] | None = None) -> DataFrame:
+    """Sides (key, side, at) with `violation`, the share of their group's support beyond them by more than 15 cm. `also` names what else tells rows of one side apart."""
+    own = [key, *(also or []), "side"]
     out = beyond_side(F.col("side"), F.col("x"), F.col("y"), F.col("at"), OUTSIDE)
-    shares = fraction(sides.select(key, "side", "at").join(support.select(key, "x", "y"), key), [key, "side"], out, "violation")
-    return sides.join(shares, [key, "side"])
+    shares = fraction(sides.select(*own, "at").join(support.select(key, "x", "y"), key), own, out, "violation")
+    return sides.join(shares, own)
 
 
 def seam_sides(seams: DataFrame, support: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo, numeric, text
 from ..operators import estimates, matching, photo, robust, scene, spatial, stats, store
+from . import rooms
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -617,20 +618,21 @@ def seam_runs(spark, sf_dir):
 
 
 @_query("""WITH d AS (SELECT o_orderkey, CAST(o_orderkey % 140 AS DOUBLE) / 10 AS w, CAST(o_custkey % 130 AS DOUBLE) / 10 AS h FROM orders)
-SELECT o_orderkey, CASE WHEN least(w, h) < 1.2 THEN 'too_small' WHEN greatest(w, h) > 12 THEN 'too_large' WHEN w * h > 80 THEN 'area_too_large' WHEN greatest(w, h) / least(w, h) > 5 THEN 'aspect' ELSE 'ok' END AS gate FROM d""")
+SELECT o_orderkey, CASE WHEN least(w, h) < 1.2 THEN 'room_dimension_too_small' WHEN greatest(w, h) > 12 THEN 'room_dimension_too_large' WHEN w * h > 80 THEN 'room_area_too_large' WHEN greatest(w, h) / least(w, h) > 5 THEN 'room_aspect_ratio_too_large' ELSE 'ok' END AS gate FROM d""")
 def dimension_gate(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") % 140).cast("double") / 10).alias("w"), ((F.col("o_custkey") % 130).cast("double") / 10).alias("h"))
     return rows.select("o_orderkey", photo.dimension_gate(F.col("w"), F.col("h")).alias("gate"))
 
 
-@_query("""WITH d AS (SELECT o_orderkey, o_orderkey % 5 AS real, CAST(o_custkey % 101 AS DOUBLE) / 100 AS c, CASE WHEN o_orderkey % 13 = 0 THEN 'aspect' ELSE 'ok' END AS gate FROM orders),
-k AS (SELECT *, CASE WHEN real = 3 THEN least(c, CAST(0.58 AS DOUBLE)) ELSE c END AS conf FROM d)
-SELECT o_orderkey, CASE WHEN real < 3 OR gate <> 'ok' OR conf < 0.5 THEN 'visible_only' WHEN conf >= 0.7 THEN 'completed' ELSE 'low_confidence' END AS status,
-CASE WHEN real < 3 THEN 'too_few_sides' WHEN gate <> 'ok' THEN gate WHEN conf < 0.5 THEN 'low_confidence' END AS reason FROM k""")
+@_query("""WITH d AS (SELECT o_orderkey, o_orderkey % 3 + 2 AS real, CAST(o_custkey % 101 AS DOUBLE) / 100 AS c, o_orderkey % 4 AS walls, o_custkey % 7 = 0 AS bad, CAST(o_custkey % 10 AS DOUBLE) / 10 AS frame FROM orders)
+SELECT o_orderkey, CASE WHEN bad OR c < 0.5 THEN 'visible_only' WHEN c >= CAST(0.7 AS DOUBLE) AND real = 4 AND walls >= 2 AND frame >= CAST(0.55 AS DOUBLE) THEN 'completed' ELSE 'low_confidence_completed' END AS status FROM d""")
 def status_machine(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("real"), ((F.col("o_custkey") % 101).cast("double") / 100).alias("c"), F.when(F.col("o_orderkey") % 13 == 0, "aspect").otherwise("ok").alias("gate"))
-    s = photo.layout_status(F.col("real"), F.col("gate"), F.col("c"))
-    return rows.select("o_orderkey", s["status"].alias("status"), s["reason"].alias("reason"))
+    """The status of a layout from its reason, confidence, sides and frame."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    conf = (c % 101).cast("double") / 100
+    reason = F.when(c % 7 == 0, "support_violation_too_high").when(conf < 0.5, "confidence_too_low")
+    status = estimates.layout_status(reason, conf, k % 3 + 2, F.lit(0), k % 4, F.lit(0.97), (c % 10).cast("double") / 10)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
 
 
 @_query("""WITH b AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
@@ -655,7 +657,7 @@ def ratio_test(spark, sf_dir):
 def _rooms(spark, sf_dir):
     """A photo a supplier, of a room whose sides follow from the supplier's key."""
     photos = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("photo_id"), (10 + F.col("s_suppkey") % 5).cast("int").alias("p_size"))
-    return photo.made_rooms(photos, rows=24, cols=36)
+    return rooms.made_rooms(photos, rows=24, cols=36)
 
 
 @_query()
@@ -664,12 +666,6 @@ def photo_area(spark, sf_dir):
     return photo.visible_area(_rooms(spark, sf_dir))
 
 
-@_query()
-def layout_complete(spark, sf_dir):
-    """Wall-to-wall completion of the same photos."""
-    return photo.complete_layout(_rooms(spark, sf_dir))
-
-
 # ---- scenes -----------------------------------------------------------------------------------------------
 
 
@@ -756,4 +752,4 @@ def scene_fuse(spark, sf_dir):
     return photo.fuse_views(views, cameras, least_view=200)
 
 
-from . import further  # noqa: E402,F401 - registers its queries here
+from . import further, layouts  # noqa: E402,F401 - register their queries here

@@ -291,7 +291,7 @@ def select_sides(spark, sf_dir):
 @_query("""WITH d AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
 SELECT k AS photo, CASE WHEN k % 17 = 0 THEN 'floor_fit_failed' WHEN c % 13 = 0 THEN 'floor_plane_residual_too_high' WHEN k % 11 = 0 THEN 'camera_height_outside_gate' WHEN c % 11 = 0 THEN 'too_few_support_points'
 WHEN k % 7 = 0 THEN 'fewer_than_two_reliable_wall_lines' WHEN c % 7 = 0 THEN 'weak_manhattan_frame' WHEN k % 5 = 0 THEN CASE WHEN c % 2 = 0 THEN 'more_than_one_missing_boundary' ELSE 'not_enough_boundaries' END
-WHEN c % 5 = 0 THEN 'aspect' WHEN k % 3 = 0 THEN 'support_violation_too_high' WHEN c % 3 = 0 THEN 'support_containment_too_low' WHEN k % 8 = 1 THEN 'completed_area_smaller_than_visible_floor' WHEN c % 4 = 1 THEN 'fewer_than_three_real_boundaries' END AS reason FROM d""")
+WHEN c % 5 = 0 THEN 'room_aspect_ratio_too_large' WHEN k % 3 = 0 THEN 'support_violation_too_high' WHEN c % 3 = 0 THEN 'support_containment_too_low' WHEN k % 8 = 1 THEN 'completed_area_smaller_than_visible_floor' WHEN c % 4 = 1 THEN 'fewer_than_three_real_boundaries' WHEN c % 4 = 2 THEN 'confidence_too_low' END AS reason FROM d""")
 def layout_reasons(spark, sf_dir):
     """The first reason for which a layout stays with the visible floor."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -299,9 +299,9 @@ def layout_reasons(spark, sf_dir):
     columns = {
         "residual_median": F.when(k % 17 != 0, num(c % 13 == 0, 0.08, 0.01)), "residual_p95": F.lit(0.05), "camera_height": num(k % 11 == 0, 2.6, 1.5), "n_support": num(c % 11 == 0, 99, 100), "n_lines": num(k % 7 == 0, 1, 2),
         "concentration": num(c % 7 == 0, 0.39, 0.4), "n_missing": F.when(k % 5 == 0, num(c % 2 == 0, 2, 1)).otherwise(0.0), "violation": num(k % 3 == 0, 0.04, 0.03), "containment": num(c % 3 == 0, 0.96, 0.97),
-        "area": num(k % 8 == 1, 9.4, 9.5), "visible": F.lit(10.0), "n_real": num(c % 4 == 1, 2, 3),
+        "area": num(k % 8 == 1, 9.4, 9.5), "visible": F.lit(10.0), "n_real": num(c % 4 == 1, 2, 3), "confidence": num(c % 4 == 2, 0.49, 0.5),
     }
-    reason = estimates.layout_reason(columns, F.when(c % 5 == 0, "aspect").otherwise("ok"))
+    reason = estimates.layout_reason(columns, F.when(c % 5 == 0, "room_aspect_ratio_too_large").otherwise("ok"))
     return _t(spark, sf_dir, "orders").select(k.alias("photo"), reason.alias("reason"))
 
 
@@ -407,7 +407,7 @@ def pixel_roles(spark, sf_dir):
     return rows.where(estimates.in_height_band(F.col("role"), F.col("l_quantity") / 10 - 0.5)).select("l_orderkey", "l_linenumber", "role")
 
 
-@_query("SELECT l_orderkey, l_linenumber, z FROM (SELECT *, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity - 5 END AS z FROM lineitem) WHERE z BETWEEN CAST(0.1 AS DOUBLE) AND CAST(40 AS DOUBLE) AND l_linenumber <> 4")
+@_query("SELECT l_orderkey, l_linenumber, z FROM (SELECT *, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity - 5 END AS z FROM lineitem) WHERE z > CAST(0.1 AS DOUBLE) AND z < CAST(40 AS DOUBLE) AND l_linenumber <> 4")
 def depth_band(spark, sf_dir):
     """Finite points within matching depth; one line number has no depth, another no finite x."""
     z, x = F.when(F.col("l_linenumber") != 2, F.col("l_quantity") - 5), F.when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.col("l_tax"))
