@@ -27,6 +27,26 @@ def binary_pieces(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def _bases(counts: DataFrame, stretch: int = 1024) -> DataFrame:
+    """length, part, base: pieces before each partition's own, the longest bucket first, from a row a partition and bucket.
+
+    Three levels: buckets (log2(longest) + 1 of them), stretches of so many partitions within a bucket, partitions within a
+    stretch. No window holds more than a stretch, or the stretches of a bucket.
+    """
+    rows = counts.withColumn("_stretch", F.floor(F.col("part") / stretch))
+    before = lambda *keys: F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - F.col("n")
+    own = rows.withColumn("_own", before("length", "_stretch", "part"))
+    stretches = rows.groupBy("length", "_stretch").agg(F.sum("n").alias("n"))
+    stretches = stretches.select("length", "_stretch", before("length", "_stretch").alias("_near"))
+    buckets = sorted(rows.groupBy("length").agg(F.sum("n").alias("n")).collect(), reverse=True)
+    far, total = [], 0
+    for length, n in buckets:
+        far.append((length, total))
+        total += n
+    far = F.broadcast(counts.sparkSession.createDataFrame(far, "length long, _far long"))
+    return own.join(stretches, ["length", "_stretch"]).join(far, "length").select("length", "part", (F.col("_own") + F.col("_near") + F.col("_far")).alias("base"))
+
+
 def pack_powers_of_two(documents: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Splits every document into pieces of binary length; each piece is a sequence of exactly its length.
 
@@ -41,7 +61,8 @@ def pack_powers_of_two(documents: DataFrame, tokenizer: str, end_id: int = 1, lo
     repeated rows are packed like any other row; an empty table gives no rows; other columns are ignored.
 
     Each task encodes its own rows: no shuffle of text or ids. What is written between is a row a piece, and
-    the numbering joins one row for each input partition and bucket (at most log2(longest) + 1 a partition).
+    the numbering joins one row for each input partition and bucket (at most log2(longest) + 1 a partition), by broadcast
+    as long as these rows are below the session's own bound.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -80,9 +101,7 @@ def pack_powers_of_two(documents: DataFrame, tokenizer: str, end_id: int = 1, lo
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place", *["ids"] * with_ids])
 
     pieces = written(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, _PIECE + ", ids array<int>" * with_ids), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))  # one row a partition of the input and bucket
-    before = counts.select("length", "part", (F.sum("n").over(Window.orderBy(F.desc("length"), "part")) - F.col("n")).alias("base"))
-    out = pieces.join(F.broadcast(before), ["length", "part"])
+    out = pieces.join(_bases(written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")), ["length", "part"])
     return out.select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
 
 

@@ -175,7 +175,7 @@ class TablePool:
 
     def _arrays(self, it) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ids, text, meta in batches(it, ["doc_id", "text_view", "meta_view"]):
-            known = np.isin(np.array(ids.to_pylist(), np.float64), self.sample.astype(np.float64))
+            known = np.isin(ids.fill_null(0).to_numpy(), self.sample) & np.asarray(ids.is_valid())
             pair = _unpacked(text, TEXT_SIZE), _unpacked(meta, META_SIZE)
             yield pair[0][~known], pair[1][~known]
 
@@ -210,14 +210,23 @@ class TablePool:
         def total(key, table):
             table = table.sort_by("part")  # the same order of addition every time
             lines = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64).reshape(table.num_rows, -1)
-            return pa.table({"v": [key[0].as_py()], "i": [key[1].as_py()], "n": [sum(table.column("n").to_pylist())], "sums": [lines.sum(0).tobytes()]}, schema=pa.schema([("v", pa.int32()), ("i", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())]))
-
-        # one line of the sums a group, a few kilobytes a task each; the driver gets the lines of two matrices
-        rows = _without_frame(self, add, "part int, v int, i int, n long, sums binary").groupBy("v", "i").applyInArrow(total, "v int, i int, n long, sums binary").collect()
+            first, v, i = (k.as_py() for k in key)
+            return pa.table({"part": [first], "v": [v], "i": [i], "n": [sum(table.column("n").to_pylist())], "sums": [lines.sum(0).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("v", pa.int32()), ("i", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())]))
+
+        # one line of the sums a group, a few kilobytes a task each, added up over stretches of 512 tasks and then of 512 of these;
+        # the driver gets the lines of two matrices, one for each quarter million tasks
+        rows, shape = _without_frame(self, add, "part int, v int, i int, n long, sums binary"), "part int, v int, i int, n long, sums binary"
+        for _ in range(2):
+            rows = rows.groupBy(F.shiftright("part", 9).alias("stretch"), "v", "i").applyInArrow(total, shape)
+        rows = rows.collect()
         out = []
         for v in range(2):
-            own = sorted((r.i, r.n, bytes(r.sums)) for r in rows if r.v == v)
-            out.append((own[0][1], np.stack([np.frombuffer(x, np.float64) for _, _, x in own])) if own else (0, np.zeros((len(fitted[v]), len(fitted[v]) + 1))))
+            size, n = len(fitted[v]), 0
+            lines = np.zeros((size, size + 1))
+            for r in sorted((r for r in rows if r.v == v), key=lambda r: (r.part, r.i)):
+                n += r.n * (r.i == 0)
+                lines[r.i] += np.frombuffer(bytes(r.sums), np.float64)
+            out.append((n, lines))
         return out
 
 
@@ -264,8 +273,29 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, calibrate: n
     own = np.flatnonzero(calibrate & (label >= 0))
     if len(set(label[own].tolist())) < 2:
         own = np.flatnonzero(label >= 0)
-    vote = logistic(both[own], label[own].astype(np.float64), np.ones(len(own)), ridge=0.05)
-    return Model(fitted[0], fitted[1], vote)
+    return Model(fitted[0], fitted[1], calibrated_vote(both[own], label[own].astype(np.float64)))
+
+
+def calibrated_vote(both: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the two views' odds and a constant. Each view's odds are calibrated by a logistic of their own, then weighed
+    by another; a view that either would turn round (a slope of 0 or less) has weight 0."""
+    one = np.ones(len(y))
+    alone = [logistic(both[:, [v]], y, one, ridge=0.05) for v in range(2)]
+    said = np.stack([both[:, v] * alone[v][0] + alone[v][1] for v in range(2)], 1)
+    use = [v for v in range(2) if alone[v][0] > 0]
+    while use:
+        w = logistic(said[:, use], y, one, ridge=0.05)
+        if (w[:-1] > 0).all():
+            break
+        use = [v for v, x in zip(use, w) if x > 0]
+    else:
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        return np.array([0.0, 0.0, float(np.log(share / (1 - share)))])
+    out = np.zeros(3)
+    out[2] = w[-1]
+    for v, x in zip(use, w):
+        out[v], out[2] = x * alone[v][0], out[2] + x * alone[v][1]
+    return out
 
 
 _ROW = "doc_id long, text_view binary, meta_view binary"
@@ -300,7 +330,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 3000, label_col
     """Fits from at most `sample` labelled documents, first by a hash of the id, and all other documents as the pool.
 
     Labels are learnt only from rows whose crc32 of the id as text is not a multiple of 5; an id whose label rows
-    disagree is not learnt from; a quarter of the sample is kept for calibration. The views of all documents are
+    disagree is not learnt from; of an id with several rows the one whose views have the smallest hash is, in whatever order they
+    come; a quarter of the sample is kept for calibration. The views of all documents are
     written once (some 700 bytes a document) and read twice a round for sums; the driver gets those, and a
     fixed number of numbers for each sampled document. Without labels of both kinds the score is constant.
     """
@@ -317,7 +348,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 3000, label_col
                 yield pa.RecordBatch.from_arrays([ids.slice(r[0], len(r)), _packed(text), _packed(meta)], names=["doc_id", "text_view", "meta_view"])
 
     views = written(_columns(documents, names).mapInArrow(view, _ROW), "views")
-    table = views.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text_view", "meta_view").toArrow().sort_by("doc_id")
+    seen = views.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text_view", "meta_view").alias("h"), "text_view", "meta_view")).alias("v"))
+    table = seen.select("doc_id", "label", "v.text_view", "v.meta_view").toArrow().sort_by("doc_id")
     text, meta = _unpacked(table.column("text_view"), TEXT_SIZE), _unpacked(table.column("meta_view"), META_SIZE)
     label, ids = table.column("label").to_numpy().astype(np.int64), table.column("doc_id").to_numpy().astype(np.int64)
     calibrate = mix(ids.view(U64)) % U64(4) == 0
