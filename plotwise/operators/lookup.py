@@ -30,17 +30,25 @@ def point_statistics(points: DataFrame, shapes: DataFrame, stats: DataFrame, exp
 
 
 def area_comparisons(areas: DataFrame, comparisons: DataFrame, window: str = "24m") -> DataFrame:
-    """The city's and the own borough's rate beside every area: area_id, metric, city_rate, borough_rate (null without one)."""
-    own = comparisons.where(F.col("window") == window)
-    city = own.where("level = 'city'").select("metric", F.col("rate").alias("city_rate"))
+    """The city's and the own borough's rate beside every area: area_id, metric, city_rate, borough_rate (null without one).
+
+    Of several rows of one level, group and metric the largest rate counts.
+    """
+    own = comparisons.where(F.col("window") == window).groupBy("level", "grp", "metric").agg(F.max("rate").alias("rate"))
+    city = own.where("level = 'city'").groupBy("metric").agg(F.max("rate").alias("city_rate"))
     borough = own.where("level = 'borough'").select(F.col("grp").alias("borough"), "metric", F.col("rate").alias("borough_rate"))
     # a city has one row a metric: the grid is areas by metrics, as the report has them
     return areas.select("area_id", "borough").join(F.broadcast(city)).join(borough, ["borough", "metric"], "left").select("area_id", "metric", "city_rate", "borough_rate")
 
 
-def keyed_value(keys: DataFrame, table: DataFrame, key: str, columns: dict[str, object]) -> DataFrame:
-    """Keys with the columns of their row in a table, or each column's default where there is no row or no value."""
-    found = keys.join(table.select(key, *columns), key, "left")
+def keyed_value(keys: DataFrame, table: DataFrame, key: str, columns: dict[str, object], order: str | None = None) -> DataFrame:
+    """Keys with the columns of their row in a table, or each column's default where there is no row or no value.
+
+    A key has one answer: of several rows the last by `order`, or the greatest by its columns where no order is given.
+    """
+    row = F.struct(*columns)
+    one = table.groupBy(key).agg(F.max_by(row, F.struct(order, row) if order else row).alias("_row")).select(key, "_row.*")
+    found = keys.join(one, key, "left")
     return found.select(*keys.columns, *[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in columns.items()])
 
 
@@ -54,12 +62,12 @@ def whole_document(stats: DataFrame, comparisons: DataFrame, through: DataFrame,
     """The statistics as rows of one nested document: a row a window with `stats`, `comparisons` and the document's own fields as JSON text.
 
     Columns window, through (date text; today where there is none), version, stats (areas to metrics to numbers)
-    and comparisons (level, group, metric to rate), keys in order. A window's areas are what a report has.
+    and comparisons (a JSON array of level, group or null, metric, to rate), keys in order. A window's areas are what a report has.
     """
     entry = F.struct("count", "rate", "rank", "total", "percentile")
     metrics = stats.groupBy("window", F.col("area_id").cast("string").alias("area_id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("metric"), entry.alias("value"))))).alias("metrics"))
     areas = metrics.groupBy("window").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("area_id", F.to_json("metrics").alias("metrics")))))).alias("stats"))
-    named = comparisons.withColumn("name", F.concat_ws("|", "level", "grp", "metric"))
+    named = comparisons.withColumn("name", F.to_json(F.array("level", "grp", "metric")))
     rates = named.groupBy("window").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rate"))))).alias("comparisons"))
     day = through.select(F.date_format(F.coalesce("data_through", F.current_date()), "yyyy-MM-dd").alias("through"))
     return areas.join(rates, "window", "left").join(F.broadcast(day)).select("window", "through", F.lit(version).alias("version"), "stats", "comparisons")
@@ -75,7 +83,7 @@ def document_statistics(document: DataFrame) -> DataFrame:
 def document_comparisons(document: DataFrame) -> DataFrame:
     """The comparisons of whole_document() again: window, level, grp, metric, rate."""
     rows = document.select("window", F.explode(F.from_json("comparisons", "map<string,double>")).alias("name", "rate"))
-    part = F.split("name", "\\|")
+    part = F.from_json("name", "array<string>")
     return rows.select("window", part[0].alias("level"), part[1].alias("grp"), part[2].alias("metric"), "rate")
 
 

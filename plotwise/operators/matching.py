@@ -26,14 +26,15 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
 def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """The k nearest rows of `right` for every row of `left` with equal keys, by Hamming distance of `bits` (a long or an array of them), ties by id.
 
-    Columns: keys, id, other, distance, rank. Both sides are cut into blocks of bounded size by a hash of the
+    Columns: keys, id, other, distance, rank. Descriptors of unlike lengths are not compared, null ones with nothing. Both sides are cut into blocks of bounded size by a hash of the
     id; a task compares two blocks and keeps k a row, so what is shuffled after is k rows a row and block.
     """
     def blocks_of(df: DataFrame) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
 
     words = lambda df: F.array("bits") if dict(df.dtypes)["bits"] == "bigint" else F.col("bits")
-    left, right = (df.select(*keys, "id", words(df).alias("bits")) for df in (left, right))
+    left, right = (df.select(*keys, "id", words(df).alias("bits"), F.size(words(df)).alias("_len")) for df in (left, right))
+    keys = [*keys, "_len"]  # descriptors of unlike lengths have no distance
     n_left, n_right = blocks_of(left).withColumnRenamed("_n", "_nl"), blocks_of(right).withColumnRenamed("_n", "_nr")
     sizes = n_left.join(n_right, keys)
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -63,7 +64,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataF
     b = b.toDF(*[f"r_{c}" for c in b.columns])
     found = a.groupBy(*keys, "_i", "_j").cogroup(b.groupBy(*[f"r_{c}" for c in [*keys, "_i", "_j"]])).applyInArrow(compare, f"{kinds}, id long, other long, distance long")
     by = Window.partitionBy(*keys, "id").orderBy("distance", "other")
-    return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k).drop("_len")
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:

@@ -18,15 +18,21 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Base rows with the newer non-null values of changes, and rows for keys that base lacks."""
-    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+def _one_change(changes: DataFrame, keys: list[str], columns: list[str], order: str | None) -> DataFrame:
+    """One row a key: of each column the last value by `order` that is not null, or the greatest without an order."""
+    value = (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))) if order else F.max
+    return changes.groupBy(*keys).agg(*[value(c).alias(f"_{c}") for c in columns])
+
+
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str | None = None) -> DataFrame:
+    """Base rows with the newer non-null values of changes, and rows for keys that base lacks. Several changes of a key are folded first."""
+    new = _one_change(changes, keys, columns, order)
     return base.join(new, keys, "full").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
-def partial_update(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Only keys in base; null values of a change leave a column alone."""
-    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+def partial_update(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str | None = None) -> DataFrame:
+    """Only keys in base; null values of a change leave a column alone. Several changes of a key are folded first."""
+    new = _one_change(changes, keys, columns, order)
     rest = [c for c in base.columns if c not in keys and c not in columns]
     return base.join(new, keys, "left").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in columns], *rest)
 
