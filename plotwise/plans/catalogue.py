@@ -743,13 +743,4 @@ def stats_document(spark, sf_dir):
     return document(_stats(spark, sf_dir))
 
 
-@_query()
-def scene_fuse(spark, sf_dir):
-    """Floors of made-up scenes seen by two cameras half a metre apart."""
-    views = _rooms(spark, sf_dir).withColumnRenamed("photo_id", "scene_id").withColumn("view", F.explode(F.array(F.lit(0), F.lit(1))))
-    eye = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
-    cameras = views.select("scene_id", "view").distinct().select("scene_id", "view", eye.alias("r"), F.array(F.col("view") * 0.5, F.lit(0.0), F.lit(0.0)).alias("t"))
-    return photo.fuse_views(views, cameras, least_view=200)
-
-
 from . import further, layouts  # noqa: E402,F401 - register their queries here

@@ -111,16 +111,6 @@ def test_planes_of_made_rooms(spark):
     assert all(not r.ok and r.area_m2 == 0 for r in none)
 
 
-def test_views_fuse_into_one_floor(spark):
-    pixels = rooms.made_rooms(spark.createDataFrame([(1, 12)], "photo_id long, p_size int"))
-    views = pixels.select(F.lit(5).alias("scene_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("view"), "x", "y", "z", "nx", "ny", "nz", "valid", "cls")
-    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-    cams = spark.createDataFrame([(5, 0, eye, [0.0, 0.0, 0.0]), (5, 1, eye, [0.5, 0.0, 0.0])], "scene_id int, view int, r array<double>, t array<double>")
-    r = photo.fuse_views(views, cams).first()
-    assert r.n_views == 2 and r.reason is None and r.area_m2 > 5
-    assert photo.fuse_views(views.where("view = 0"), cams).first().reason == "too_few_views"
-
-
 def test_ring_simplification_keeps_ends_and_corners(spark):
     ring = [{"x": i / 10, "y": 0.0} for i in range(11)] + [{"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]
     df = spark.createDataFrame([(ring,)], "r array<struct<x:double,y:double>>")
