@@ -113,10 +113,10 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
         i = j
 
 
-def words(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(block: Block, table: np.ndarray, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word, and the index of each document's first word (one more entry at the end).
 
-    A word never crosses a document. The hash of a word is its polynomial over the bytes, taken from
+    A word never crosses a document. `inner` marks bytes at which a word starts though no separator stands before. The hash of a word is its polynomial over the bytes, taken from
     prefix sums modulo 2**64, then mixed.
     """
     data, offsets = table[block.data], block.offsets
@@ -136,6 +136,9 @@ def words(block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     np.greater(inside[:-1], inside[1:], out=last[:-1])
     before = cuts[cuts > 0] - 1
     last[before] |= inside[before]
+    if inner is not None:
+        first |= inner
+        last[:-1] |= inner[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets, side="left")
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public vocabulary, one look-up per white-space piece.
 
 The vocabulary's rules drop white space and never join across it, so the ids of a text are the ids of
-its pieces in order. Each task keeps the pieces it has met; only new ones reach the library's model.
+its pieces in order. Where ASCII letters, digits and signs meet the rules cut as well (but for an apostrophe before a
+letter), so pieces end there too and `word,` and `Word` share one entry. Each task keeps the pieces it has met; only new ones reach the library's model.
 A vocabulary whose rules do look across white space (byte-level BPE with leading spaces, sentencepiece)
 is encoded by whole text instead: `splits` says which holds.
 """
@@ -14,11 +15,24 @@ from functools import lru_cache
 
 import numpy as np
 
-from .textkit import RAW_TABLE, Block, distinct, gather, words
+from .textkit import RAW_TABLE, WHITE_TABLE, Block, distinct, gather, words
 
 #: The rules under which pieces between white space are independent (fixed values of the public file format).
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _NORMALIZERS = {"NFC", "Lowercase", "Replace"}
+#: Letters 1, digits 2, other visible ASCII 3; white space and what is beyond ASCII 0: there pieces are not cut.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(48, 58)]] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+
+
+def kind_changes(data: np.ndarray) -> np.ndarray:
+    """Marks bytes whose kind differs from the kind of the byte before; not a letter after an apostrophe, which may be one pre-token."""
+    kind, out = _KIND[data], np.zeros(len(data), bool)
+    a, b = kind[:-1], kind[1:]
+    out[1:] = (a != b) & (a > 0) & (b > 0) & ((data[:-1] != ord("'")) | (b != 1))
+    return out
 
 
 class Recent:
@@ -60,7 +74,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.special = [t["content"].encode() for t in rules.get("added_tokens", [])]
-        self.mark = os.path.commonprefix(self.special)
+        self.mark = os.path.commonprefix(self.special) or (b"" if self.special else b"\xff")  # no text holds byte 255
         self.splits = self._splits(rules) and not any(set(s) & set(b" \t\n\r\x0b\x0c") for s in self.special)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -82,7 +96,9 @@ class Encoder:
         pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
         pattern = pre[0].get("pattern", {}).get("Regex") if pre else None
         flags = any(t.get(k) for t in rules.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        return rules["model"]["type"] == "BPE" and {s.get("type") for s in steps} <= _NORMALIZERS and pattern == _WORD_PATTERN and pre[0].get("invert") is True and not flags
+        replaced = all(s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps if s.get("type") == "Replace")
+        kinds = {s.get("type") for s in steps}
+        return rules["model"]["type"] == "BPE" and kinds <= _NORMALIZERS and "Lowercase" in kinds and replaced and pattern == _WORD_PATTERN and pre[0].get("invert") is True and not flags
 
     def _library(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -102,22 +118,28 @@ class Encoder:
             return None  # beyond Latin-1 composing and lower case follow tables of their own
         return [w.encode() for w in self._find(text.lower())]
 
+    def _tokenized(self, names: list[str]) -> list[bytes]:
+        """Packed ids of pre-tokens in the model's own spelling."""
+        tokenize, ids, at = self.tokenizer.model.tokenize, [], [0]
+        for name in names:
+            ids += [t.id for t in tokenize(name)]
+            at.append(len(ids))
+        flat, wide = self._pack(ids), self.dtype.itemsize
+        return [flat[i * wide : j * wide] for i, j in zip(at, at[1:])]
+
     def learn(self, new) -> dict[bytes, bytes]:
-        """Ids of pieces, each worked out once: the model sees every distinct pre-token."""
-        parts = {p: self._parts(p) for p in new}
+        """Ids of pieces, each worked out once: ASCII letters alone are a pre-token, of the others the model sees every distinct pre-token."""
+        alone = [p for p in new if p.isalpha()]
+        out = dict(zip(alone, self._tokenized([p.decode("ascii").lower() for p in alone])))
+        parts = {p: self._parts(p) for p in new if p not in out}
         every = list(dict.fromkeys([w for ws in parts.values() for w in ws or ()]))
-        got = dict(zip(every, self.words.get(every)))
+        got, names = dict(zip(every, self.words.get(every))), self._byte
         fresh = [w for w in every if got[w] is None]
-        tokenize, names = self.tokenizer.model.tokenize, self._byte
-        ids, at = [], [0]
-        for w in fresh:
-            ids += [t.id for t in tokenize(w.decode("ascii") if w.isascii() else "".join([names[b] for b in w]))]
-            at.append(len(ids))
-        flat, wide = self._pack(ids), self.dtype.itemsize
-        more = {w: flat[i * wide : j * wide] for w, i, j in zip(fresh, at, at[1:])}
+        more = dict(zip(fresh, self._tokenized([w.decode("ascii") if w.isascii() else "".join([names[b] for b in w]) for w in fresh])))
         self.words.put(more)
         got.update(more)
-        return {p: self._library(p.decode("utf-8", "replace")) if ws is None else got[ws[0]] if len(ws) == 1 else b"".join([got[w] for w in ws]) for p, ws in parts.items()}
+        out.update({p: self._library(p.decode("utf-8", "replace")) if ws is None else got[ws[0]] if len(ws) == 1 else b"".join([got[w] for w in ws]) for p, ws in parts.items()})
+        return out
 
     def block(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's documents one after another, each with the end id if one is given, and where each document starts.
@@ -129,9 +151,13 @@ class Encoder:
             lengths = np.array([len(x) for x in parts], np.int64)
             flat = np.concatenate([*parts, np.zeros(0, self.dtype)])
         else:
-            starts, ends, hashes, first = words(block, RAW_TABLE)
-            one, number = distinct(hashes)
             data = block.data.tobytes()
+            if self.mark in data:  # special strings may stand in it: they are met in whole pieces, capitals kept
+                starts, ends, hashes, first = words(block, RAW_TABLE)
+            else:
+                starts, ends, hashes, first = words(block, WHITE_TABLE, kind_changes(block.data))
+                data = data.lower()  # ASCII alone, as the hashes
+            one, number = distinct(hashes)
             pieces = [data[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())]
             found = self.look_up(pieces)
             joined = np.frombuffer(b"".join(found), self.dtype)
