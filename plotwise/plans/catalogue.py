@@ -743,4 +743,4 @@ def stats_document(spark, sf_dir):
     return document(_stats(spark, sf_dir))
 
 
-from . import further, layouts  # noqa: E402,F401 - register their queries here
+from . import further, layouts, poses  # noqa: E402,F401 - register their queries here
