@@ -199,10 +199,10 @@ def format_number(x: Column) -> Column:
 
 
 def format_rate(x: Column) -> Column:
-    """Thousands separated and whole from 1000 on, else one decimal; a dash for null."""
+    """Thousands separated and whole from 1000 on, else one decimal without separators (999.96 is 1000.0); a dash for null."""
     from .numeric import half_up
 
-    return F.when(x.isNull(), F.lit("—")).when(x >= 1000, F.format_number(half_up(x).cast("long"), 0)).otherwise(F.format_number(half_up(x, 1), 1))
+    return F.when(x.isNull(), F.lit("—")).when(x >= 1000, F.format_number(half_up(x).cast("long"), 0)).otherwise(F.call_function("format_number", half_up(x, 1), F.lit("0.0")))
 
 
 def city_multiple(value: Column, reference: Column) -> Column:
