@@ -330,10 +330,10 @@ def pixel_intrinsics(spark, sf_dir):
 def inside_ring(spark, sf_dir):
     """Points inside the box of their own group, its left side included."""
     whole = F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k"), whole.alias("id"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")).distinct()
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k"), whole.alias("id"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
     corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
     edges = spark.createDataFrame([(k, *[float((10 + k, 30)[p[0]]) if i == 0 else (0.015, 0.075)[p[1]] for p in (a, b) for i in (0, 1)]) for k in range(1, 8) for a, b in zip(corners, corners[1:] + corners[:1])], "k int, ax double, ay double, bx double, by double")
-    return estimates.inside_ring(rows, edges, "k", "id").select("id.*")
+    return estimates.inside_ring(rows, edges, "k", "id").select("id.*").distinct()
 
 
 @_query("""WITH m AS (SELECT event_id, user_id % 20 AS photo, floor(value / 3 + CAST(0.5 AS DOUBLE)) AS c FROM events),
