@@ -51,11 +51,13 @@ def _clear() -> None:
             pass
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, and lost executors cost no rework."""
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, rows_per_file: int = 0) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends there, and lost executors cost no rework. Files are of any length unless said."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -10,7 +10,8 @@ point linked with each, without a comparison; the others go on to their children
 
 Equal vectors are one point with a weight. Points go to the nearest of some pivots, a cell beyond the bound of a block is split by
 digest, and each block of points is one tree, built once. Blocks meet where the annuli of their points around the pivots allow
-a pair at all. A meeting leaves numbers of links and a forest of the links it has found, never the pairs.
+a pair at all: each part of the written trees is read beside each other part, so that no block is copied for its meetings. The meetings
+of two parts leave numbers of links and a forest of the links they have found, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import lent, small_batches, written
+from .cluster import lent, remove, small_batches, written
 from .components import components
 
 #: Points a block, at first; it grows so that there are at most MOST_BLOCKS of them, whose bounds (40 bytes each) every task gets.
@@ -34,6 +34,8 @@ BLOCK, MOST_BLOCKS = 2048, 1 << 16
 PIVOTS, SAMPLE = 1024, 8192
 #: Radians that bounds give way, far above rounding; what they leave undecided is decided by the cosine itself.
 SLACK = 1e-7
+#: Trees of one file: of few, they are read in as many parts as there are cores.
+FEW = 4
 #: Entries of a matrix of cosines at a time.
 _CELLS = 1 << 21
 
@@ -211,6 +213,56 @@ class Meeting:
                 root[:] = up
 
 
+class Meetings:
+    """Numbers of links and a forest of what hangs together over the meetings of some blocks."""
+
+    def __init__(self, cosine: float) -> None:
+        self.cosine, self.at, self.nodes, self.links, self.n = cosine, {}, {}, {}, 0
+        self.root = np.zeros(0, np.int64)
+
+    def meet(self, one: int, a: Tree, nodes: np.ndarray, other: int, b: Tree | None, more: np.ndarray) -> None:
+        """Block `one` with another, or with itself where `b` is None."""
+        meeting = Meeting(a, b, self.cosine)
+        for block, own, links in zip((one, other), (nodes, more), meeting.links()[: 1 if b is None else 2]):
+            if not links.any():
+                continue
+            if block not in self.at:
+                self.at[block], self.nodes[block], self.links[block] = self.n, own.copy(), np.zeros(len(own), np.int64)
+                self.n += len(own)
+                if self.n > len(self.root):
+                    self.root = np.concatenate([self.root, np.arange(len(self.root), 2 * self.n)])
+            self.links[block] += links
+        some = np.flatnonzero(meeting.root != np.arange(len(meeting.root)))
+        if len(some):
+            here = lambda x: np.where(x < meeting.base, self.at.get(one, 0) + x, self.at.get(other, 0) + x - meeting.base)
+            self._union(here(some), here(meeting.root[some]))
+
+    def _top(self, i: np.ndarray) -> np.ndarray:
+        x = self.root[i]
+        while True:
+            up = self.root[x]
+            if np.array_equal(up, x):
+                self.root[i] = x
+                return x
+            x = up
+
+    def _union(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            x, y = self._top(i), self._top(j)
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Node, number of links and head of all points with links, block by block."""
+        if not self.n:
+            return
+        every = np.concatenate([self.nodes[k] for k in self.at])
+        for block, at in self.at.items():
+            some = np.flatnonzero(self.links[block])
+            yield self.nodes[block][some], self.links[block][some], every[self._top(at + some)]
+
+
 # ---- on tables
 
 
@@ -285,18 +337,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) ->
     spark = vectors.sparkSession
     small_batches(spark)
     packed, kind = _packed(vectors)
-    packed = written(packed, "vectors")
+    # vectors are packed again for their ids, not written for them: their bytes are on disk as points and as trees alone
     alike = packed.where("digest is not null").groupBy("digest").agg(F.count("*").alias("w"), F.min("vec_id").alias("low"), F.first("v").alias("v"), F.first("dims").alias("dims"))
     points = written(alike.withColumn("node", F.monotonically_increasing_id()), "points")
+    rows = written(packed.select("vec_id", "digest"), "ids")
     links, joined = _linked(points, kind, cosine, block)
     of_node = points.select("node", "digest", "w", "low").join(links, "node", "left").join(joined, "node", "left")
     lowest = of_node.where("head is not null").groupBy("head").agg(F.min("low").alias("least"))
     facts = of_node.join(lowest, "head", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id"), "w")
     facts = written(facts, "links")
     # Copies that hold a thousandth of all rows are fewer than a thousand: their facts go to every task, the others' by digest.
-    heavy = packed.count() // 1000 + 1
+    heavy = rows.count() // 1000 + 1
     few = F.broadcast(facts.where(F.col("w") >= heavy).select("digest", F.col("n_links").alias("many"), F.col("component_id").alias("lowest")))
-    rows = packed.select("vec_id", "digest").join(few, "digest", "left")
+    rows = rows.join(few, "digest", "left")
     settled = rows.where("many is not null or digest is null").select("vec_id", F.coalesce("many", F.lit(0)).alias("n_links"), F.coalesce("lowest", "vec_id").alias("component_id"))
     rest = rows.where("many is null and digest is not null").join(facts.where(F.col("w") < heavy), "digest").select("vec_id", "n_links", "component_id")
     return settled.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -338,16 +391,16 @@ def _linked(points: DataFrame, kind: str, cosine: float, block: int) -> tuple[Da
                     yield pa.RecordBatch.from_arrays([batch["node"], batch["w"], batch["dims"], batch["v"], *columns], ["node", "w", "dims", "v", "block", "cell", "angle"])
 
             dealt = points.select("node", "w", "dims", "v", "digest").mapInArrow(deal, "node long, w long, dims int, v binary, block int, cell int, angle double")
-            trees = written(dealt.groupBy("block").applyInArrow(lambda table: _grow(table, kind, limit), "block int, dims int, cell int, low double, high double, body binary"), "trees")
-        pairs = _meetings(trees, pivots, limit)
-    met = trees.select("block", "body").join(pairs, "block").groupBy("pair").applyInArrow(lambda table: _meet(table, cosine), "node long, links long, head long")
-    met = written(met, "meetings")
+            grown = dealt.groupBy("block").applyInArrow(lambda table: _grow(table, kind, limit, held.value), "block int, dims int, cell int, low double, high double, reach array<double>, body binary")
+            trees = written(grown, "trees", rows_per_file=FEW)
+    met = written(_met(trees, limit, cosine), "meetings")
+    remove(spark, trees.plotwise_path)
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(met.select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "head").select("node", "head")
     return links, joined
 
 
-def _grow(table: pa.Table, kind: str, limit: float) -> pa.Table:
+def _grow(table: pa.Table, kind: str, limit: float, pivots: dict[int, np.ndarray]) -> pa.Table:
     d = table["dims"][0].as_py()
     values = np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(-1, d)
     order, starts, radii = build(unit_rows(values), limit / 16)
@@ -356,7 +409,7 @@ def _grow(table: pa.Table, kind: str, limit: float) -> pa.Table:
     low, high = (angle.min(), angle.max()) if cell >= 0 else (0.0, math.pi)
     flat = [body["v"].tobytes(), body["w"].astype("<i8").tobytes(), body["node"].astype("<i8").tobytes(), *(x.astype(t).tobytes() for s, r in zip(starts, radii) for x, t in ((s, "<i4"), (r, "<f8")))]
     head = np.array([len(order), d, 4 if kind == "<f4" else 8, len(starts), *(len(s) for s in starts)], "<i8")
-    return pa.table({"block": table["block"].slice(0, 1), "dims": pa.array([d], pa.int32()), "cell": pa.array([cell], pa.int32()), "low": [float(low)], "high": [float(high)], "body": pa.array([head.tobytes() + b"".join(flat)], pa.binary())})
+    return pa.table({"block": table["block"].slice(0, 1), "dims": pa.array([d], pa.int32()), "cell": pa.array([cell], pa.int32()), "low": [float(low)], "high": [float(high)], "reach": pa.array([_angles(pivots[d] @ pivots[d][cell]) if cell >= 0 else []], pa.list_(pa.float64())), "body": pa.array([head.tobytes() + b"".join(flat)], pa.binary())})
 
 
 def _read(body: bytes) -> tuple[Tree, np.ndarray]:
@@ -373,43 +426,30 @@ def _read(body: bytes) -> tuple[Tree, np.ndarray]:
     return Tree(unit_rows(points.reshape(n, d)), weights, [x.astype(np.int64) for x in levels_[::2]], levels_[1::2]), nodes
 
 
-def _meetings(trees: DataFrame, pivots: dict[int, np.ndarray], limit: float) -> DataFrame:
-    """(pair, block): the blocks of every pair that may hold a link, a block with itself included.
+def _met(trees: DataFrame, limit: float, cosine: float) -> DataFrame:
+    """(node, links, head) of points with links, once for each two parts of the trees that hold some: sums are the reader's.
 
     x at angles [low, high] from pivot p and y at [low', high'] from p' are apart by D - high - high', low - D - high' and
-    low' - D - high at least, D between the pivots. Every task holds the bounds of all blocks, MOST_BLOCKS or so, and compares its own with them.
+    low' - D - high at least, D (`reach` has it for every p') between the pivots. A task reads one part of the written trees and, beside
+    each of its blocks, the other part: nothing is shuffled, however many blocks meet.
     """
-    spark = trees.sparkSession
-    bounds = trees.select("block", "dims", "cell", "low", "high")
-    every = bounds.toPandas()
-    held = spark.sparkContext.broadcast((every, pivots))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, pivots = held.value
+    one, other = trees.alias("one"), trees.select("block", "dims", "cell", "low", "high", "body").alias("other").hint("shuffle_replicate_nl")
+    a, b = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"other.{c}"))
+    between = F.get(a("reach"), b("cell"))
+    apart = F.coalesce(F.greatest(between - b("high") - a("high"), b("low") - between - a("high"), a("low") - between - b("high")), F.lit(0.0))
+    # a difference of lengths, for an equation would shuffle all blocks by their few lengths
+    near = (a("block") <= b("block")) & (a("dims") - b("dims") == 0) & (apart <= limit + SLACK)
+    pairs = one.join(other, near).select(a("block").alias("a"), a("body").alias("body_a"), b("block").alias("b"), b("body").alias("body_b"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meetings, last, held = Meetings(cosine), None, None
         for batch in batches:
-            for r in batch.itertuples():
-                other = rest[(rest["dims"] == r.dims) & (rest["block"] >= r.block)]
-                apart = np.zeros(len(other))
-                if r.cell >= 0:
-                    centres = pivots[r.dims]
-                    between = _angles(centres[other["cell"].to_numpy()] @ centres[r.cell])
-                    low, high = other["low"].to_numpy(), other["high"].to_numpy()
-                    apart = np.maximum.reduce([between - high - r.high, low - between - r.high, r.low - between - high])
-                ends = other["block"].to_numpy()[apart <= limit + SLACK]
-                pair = (np.int64(r.block) << 32) + ends
-                own = np.full(len(ends), r.block)
-                yield pd.DataFrame({"pair": np.concatenate([pair, pair[ends != r.block]]), "block": np.concatenate([own, ends[ends != r.block]])})
-
-    found = written(bounds.mapInPandas(find, "pair long, block int"), "meetings")
-    held.destroy()
-    return found
-
-
-def _meet(table: pa.Table, cosine: float) -> pa.Table:
-    (a, nodes), *other = (_read(x) for x in table["body"].to_pylist())
-    b, more = other[0] if other else (None, nodes)
-    meeting = Meeting(a, b, cosine)
-    of_a, of_b = meeting.links()
-    node, links = (nodes, of_a) if b is None else (np.concatenate([nodes, more]), np.concatenate([of_a, of_b]))
-    some = np.flatnonzero(links)
-    return pa.table({"node": pa.array(node[some]), "links": pa.array(links[some]), "head": pa.array(node[meeting.root[some]])})
+            for one, other, body, more in zip(*(batch[c].to_pylist() for c in ("a", "b")), batch["body_a"], batch["body_b"]):
+                if one != last:
+                    last, held = one, _read(body.as_py())
+                tree, nodes = (None, held[1]) if other == one else _read(more.as_py())
+                meetings.meet(one, *held, other, tree, nodes)
+        for columns in meetings.found():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "links", "head"])
+
+    return pairs.mapInArrow(meet, "node long, links long, head long")
