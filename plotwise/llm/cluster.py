@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of whole numbers as arrays, for small results: the driver gets each partition's as bytes, one row a batch, never an object a row."""
+    kinds = {c: np.dtype({"int": "<i4", "bigint": "<i8"}[k]) for c, k in df.dtypes}
+
+    def pack(it) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(b.schema.get_field_index(c)).to_numpy().astype(k).tobytes()], pa.binary()) for c, k in kinds.items()], names=list(kinds))
+
+    rows = df.mapInArrow(pack, ", ".join(f"`{c}` binary" for c in kinds)).collect()
+    return {c: np.frombuffer(b"".join(r[c] for r in rows), k) for c, k in kinds.items()}
+
+
 #: Bits of the membership filter: 2**23 bits are 1 MB, whatever the number of keys.
 FILTER_BITS = 1 << 23
 
@@ -109,19 +123,18 @@ def key_filter(keys: DataFrame, column: str, hashed: bool = False) -> np.ndarray
 
     With `hashed` the keys are hashes already and stand at their remainder, else at place().
 
-    Built by bit_or per 64-bit word on the executors; the driver gets at most 131,072 rows however many keys there are.
+    Built by bit_or per 64-bit word on the executors; the driver gets at most 131,072 words however many keys there are.
     When it fills up, more rows pass than need to and the join that follows drops them.
     """
     at = F.pmod(F.col(column), F.lit(FILTER_BITS)) if hashed else place(F.col(column))
     bit = f"`{column}`" if hashed else f"xxhash64(`{column}`)"
-    rows = (
+    words = (
         keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({bit}, {FILTER_BITS}L), 64) as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
-        .toPandas()
     )
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    bits, held = np.zeros(FILTER_BITS >> 6, np.int64), packed(words)
+    bits[held["w"]] = held["b"]
     return bits
 
 

@@ -13,7 +13,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large star: every node hands its larger neighbours its smallest one. Small star: every node hands its
     smaller neighbours, and itself, the smallest. Both are a minimum per node, added up before the shuffle,
-    and a join; the table never has more rows than links and nodes together, and a path of n nodes takes
+    and a join (a merge: nodes are never broadcast); the table never has more rows than links and nodes together, and a path of n nodes takes
     some log(n) rounds. Links of a node with itself and null ends are left out. If `rounds` do not settle it, that is an error.
     """
     spark = links.sparkSession
@@ -23,10 +23,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a > b holds in every row of `large`: the smallest neighbour of a node with larger ones is below them
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select("b", "m").toDF("a", "b").unionByName(down.toDF("a", "b"))
+        small = large.join(down.hint("merge"), "a").where("b <> m").select("b", "m").toDF("a", "b").unionByName(down.toDF("a", "b"))
         after = written(small.where("a <> b").distinct(), "links")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         remove(spark, edges.plotwise_path)

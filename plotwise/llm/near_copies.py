@@ -15,6 +15,8 @@ none) are compared first, and only the followers of those that this leaves open
 blocks of bounded size. What is in one class already needs no answer at all.
 
 What is left is verified on the texts themselves; classes are components of verified links.
+
+Joins by documents are merges: their sides grow with the table, and one that is broadcast goes through the driver first.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import key_filter, lent, partitions, passes, place, remove, written
+from .cluster import key_filter, lent, packed, partitions, passes, place, remove, written
 from .components import components
 from .textkit import WHITE_TABLE, U64, Block, batches, blocks, fold64, give_back, mix, windows, words
 
@@ -133,8 +135,8 @@ def common_grams(rows: DataFrame, rule: Rule, n_buckets: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(fold64(grams[at][many])), pa.array(total[many])], names=["gram", "n"])
 
     sent = dealt(rows.select("text").mapInArrow(send, "bucket int, grams binary, counts binary"))
-    found = sent.mapInArrow(add, "gram long, n long").orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").toPandas()
-    return np.sort(found["gram"].to_numpy(np.int64).view(U64))
+    found = sent.mapInArrow(add, "gram long, n long").orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram")
+    return np.sort(packed(found)["gram"].view(U64))
 
 
 def index(rows: DataFrame, rule: Rule, common, n_buckets: int) -> DataFrame:
@@ -302,7 +304,7 @@ def by_histogram(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("hist").alias("hist_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("hist").alias("hist_b"))
-    return pairs.distinct().join(left, "a").join(right, "b").mapInArrow(keep, "a long, b long, size long")
+    return pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(keep, "a long, b long, size long")
 
 
 #: N-grams that are verified against one text in one go: a document with more partners' n-grams is dealt out in shares.
@@ -348,9 +350,9 @@ def verified(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "beyond"])
         give_back()
 
-    share = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
-    other = share.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "share", "b", "text")
-    own = shares.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    share = pairs.join(shares.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    other = share.hint("merge").join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "share", "b", "text")
+    own = shares.hint("merge").join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
     own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
     met = own.unionByName(other).repartition(partitions(spark), "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
     links = written(met.mapInArrow(check, "a long, b long, beyond long").groupBy("a", "b").agg(F.min("beyond").alias("beyond")), "links")
@@ -375,8 +377,8 @@ def followers(entries: DataFrame, links: DataFrame, labels: DataFrame, several:
     """
     leads = links.select(F.col("a").alias("lead")).distinct()
     free = leads.select(F.col("lead").alias("b")).unionByName(several.select(F.col("doc_id").alias("b")))
-    follows = links.join(free, "b", "left_anti").groupBy(F.col("b").alias("doc")).agg(F.min_by("a", F.struct("beyond", "a")).alias("lead"), F.min("beyond").alias("beyond"))
-    tagged = entries.join(labels, entries["doc"] == labels["node"], "left").join(follows, "doc", "left")
+    follows = links.join(free.hint("merge"), "b", "left_anti").groupBy(F.col("b").alias("doc")).agg(F.min_by("a", F.struct("beyond", "a")).alias("lead"), F.min("beyond").alias("beyond"))
+    tagged = entries.join(labels.hint("merge"), entries["doc"] == labels["node"], "left").join(follows.hint("merge"), "doc", "left")
     tagged = tagged.select("gram", "doc", "place", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("lead", "doc").alias("lead"), F.coalesce("beyond", F.lit(0)).alias("beyond"))
     tagged = written(tagged.withColumn("band", rule.band(F.col("size"))), "tagged")
     mixed = tagged.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
@@ -402,7 +404,7 @@ def open_leaders(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     groups = written(groups, "groups")
     # a group stands in every band that its sizes reach, and in the one below: sets that link are in one band or neighbours
     wide = _tiles(groups, "lead").withColumn("group", F.explode(F.sequence(rule.band(F.col("low")) - 1, rule.band(F.col("high")))))
-    keyed = wide.join(sets.select(F.col("doc_id").alias("lead"), F.col("size").alias("lead_size"), "hist"), "lead")
+    keyed = wide.join(sets.select(F.col("doc_id").alias("lead"), F.col("size").alias("lead_size"), "hist").hint("merge"), "lead")
 
     def compare(key, table):
         i, j = key[2].as_py(), key[3].as_py()
@@ -429,7 +431,7 @@ def open_pairs(entries: DataFrame, links: DataFrame, labels: DataFrame, several:
     still = written(open_leaders(rows, sets, rule), "open")
     close = written(rows.join(still, ["gram", "lead"], "left_semi"), "close")
     wide = _tiles(close, "doc").withColumn("group", F.explode(F.array("band", F.col("band") - 1)))
-    keyed = wide.join(sets.select(F.col("doc_id").alias("doc"), "hist"), "doc")
+    keyed = wide.join(sets.select(F.col("doc_id").alias("doc"), "hist").hint("merge"), "doc")
 
     def compare(key, table):
         group, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
@@ -466,7 +468,7 @@ def near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = described.where("doc_id is not null and size > 0")
     keys = ["size", "d1", "d2"]
     classes = written(sets.groupBy(*keys).agg(F.min("doc_id").alias("class_id")), "classes")
-    leaders = written(sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", *keys]), "leaders")
+    leaders = written(sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", *keys]), "leaders")
 
     n_buckets = 4 * partitions(spark)
     with lent(spark, common_grams(rows, rule, n_buckets)) as common:
@@ -477,18 +479,18 @@ def near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
     led = leader_pairs(long, rule)
     links = verified(rows, by_histogram(short.unionByName(led), leaders, rule), rule)
     # an id with several sets ties their classes together
-    classed = sets.join(classes, keys).select("doc_id", "class_id")
+    classed = sets.join(classes.hint("merge"), keys).select("doc_id", "class_id")
     several = written(classed.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z"), "several")
-    tied = classed.join(several, "doc_id").select("a", F.col("class_id").alias("b"))
+    tied = classed.join(several.hint("merge"), "doc_id").select("a", F.col("class_id").alias("b"))
     stars = components(links.select("a", "b").unionByName(tied))
-    known = links.join(led.distinct(), ["a", "b"], "left_semi")
+    known = links.join(led.distinct().hint("merge"), ["a", "b"], "left_semi")
     rest = verified(rows, by_histogram(open_pairs(long, known, stars, several, leaders, rule), leaders, rule), rule)
     joined = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b")))
     for table in (leaders, found, long, links, several, rest):
         remove(spark, table.plotwise_path)
 
     # links are between classes' smallest documents; other copies follow their class
-    classed = described.join(classes, keys, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    classed = described.join(classes.hint("merge"), keys, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     classed = classed.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
-    out = classed.join(joined, classed["class_id"] == joined["node"], "left")
+    out = classed.join(joined.hint("merge"), classed["class_id"] == joined["node"], "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
